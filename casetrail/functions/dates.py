@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,14 @@ def own_date(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     return F.when(text.rlike(ISO_DATE), text.try_cast("date"))
+
+
+def instant(at: datetime) -> Column:
+    """A fixed point in time; a datetime without a zone is UTC."""
+    if at.tzinfo:
+        at = at.astimezone(timezone.utc)
+    return F.lit(at.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+
+
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc)

@@ -48,12 +48,12 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold_accents(col: Column) -> Column:
     """Letters in compatibility-decomposed form, without combining marks."""
     source, target, expanded = _fold_tables()
-    pairs = F.create_map(*[F.lit(x) for kv in expanded.items() for x in kv])
+    pairs = F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in expanded.items())), F.lit("[|]"), F.lit("="))
     spelled = F.array_join(
         F.transform(F.split(col, ""), lambda c: F.coalesce(pairs[c], c)), "")
     # Expansions are rare: the per-character path runs only for values that hold one.
-    col = F.when(col.rlike("[" + "".join(expanded) + "]"), spelled).otherwise(col)
-    return F.when(col.rlike("[^\\x00-\\x7F]"), F.translate(col, source, target)).otherwise(col)
+    spelled = F.when(col.rlike("[" + "".join(expanded) + "]"), spelled).otherwise(col)
+    return F.when(col.rlike("[^\\x00-\\x7F]"), F.translate(spelled, source, target)).otherwise(col)
 
 
 def normalise_name(col: Column) -> Column:

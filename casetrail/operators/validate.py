@@ -14,12 +14,13 @@ Nothing depends on the wall clock: `now` is an argument.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casetrail.functions.dates import age_on, own_date, parse_date, parse_timestamp
+from casetrail.functions.dates import age_on, instant, own_date, parse_date, parse_timestamp
 from casetrail.functions.text import normalise_phone
 from casetrail.schemas import SOURCES, Field, Source
 
@@ -139,10 +140,10 @@ def _plausibility(spec: Source, now: datetime, earliest: datetime, limit: float)
     at = F.col(f"_f_{spec.time_field}") if spec.time_field else None
     reasons: list[Column] = []
     if at is not None:
-        latest = F.lit(now).cast("timestamp") + F.expr("INTERVAL 1 DAY")
+        latest = instant(now) + F.expr("INTERVAL 1 DAY")
         reasons += [
             F.when(at > latest, F.lit(f"{spec.time_field} is in the future")),
-            F.when(at < F.lit(earliest).cast("timestamp"),
+            F.when(at < instant(earliest),
                    F.lit(f"{spec.time_field} is before {earliest.year}")),
         ]
     if spec.name == "kyc":
@@ -195,9 +196,16 @@ def _holds_nul(spec: Source) -> Column:
 
 
 def validate(raw: DataFrame, source: str, now: datetime, earliest: datetime = EARLIEST,
-             max_transfer: float = MAX_TRANSFER, value: str = "value") -> DataFrame:
-    """Check every message of one source; see the module text for the added columns."""
+             max_transfer: float = MAX_TRANSFER, value: str = "value",
+             patterns: dict[str, str] | None = None) -> DataFrame:
+    """Check every message of one source; see the module text for the added columns.
+
+    `patterns` replaces id formats by field name, for id ranges that outgrew the fixed digits.
+    """
     spec = SOURCES[source]
+    if patterns:
+        spec = replace(spec, fields=tuple(
+            replace(f, pattern=patterns.get(f.name, f.pattern)) for f in spec.fields))
     keep = [F.col(c) for c in raw.columns]
     parsed = raw.select(*keep, F.try_parse_json(value).alias("_v"))
     typed = parsed.select(*keep, "_v", *[_json_type(f).alias(f"_t_{f.name}") for f in spec.fields])
@@ -233,7 +241,7 @@ def validate_record(spark, source: str, record_json: str, now: datetime, **bound
 
 def dead_letters(judged: DataFrame, at: datetime | None = None) -> DataFrame:
     """Quarantine rows for everything refused; the record is kept as it came."""
-    when = F.lit(at).cast("timestamp") if at else F.current_timestamp()
+    when = instant(at) if at else F.current_timestamp()
     return judged.filter(F.col("verdict") != "ok").select(
         F.col("verdict").alias("kind"), "source", "reasons", F.col("value").alias("record"),
         "topic", "partition", "offset", "key", when.alias("dead_lettered_at"))
