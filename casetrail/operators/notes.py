@@ -106,7 +106,7 @@ def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int,
             for name, query, length in zip(names, asked, lengths):
                 with np.errstate(invalid="ignore", divide="ignore"):
                     away = 1 - (rows * query).sum(axis=1) / (norms * length)
-                away = np.round(away, 9)
+                away = np.round(away, 9) + 0.0   # no negative zero
                 # Everything up to the k-th distance is kept, so no tie is cut here.
                 limit = np.partition(away, k - 1)[k - 1] if len(away) > k else np.inf
                 chosen = np.flatnonzero((away <= limit) | np.isnan(away))

@@ -224,7 +224,7 @@ def validate(raw: DataFrame, source: str, now: datetime, earliest: datetime = EA
         _plausibility(spec, now, earliest, max_transfer))
     reasoned = judged.select("*", reasons.alias("_reasons"))
     verdict = F.when(F.size("_reasons") > 0, "rejected").when(_holds_nul(spec), "poison").otherwise("ok")
-    return reasoned.select("*", verdict.alias("verdict")).select(
+    done = reasoned.select("*", verdict.alias("verdict")).select(
         *keep,
         F.col(f"_f_{spec.id_field}").alias("record_id"),
         F.when(F.col("verdict") != "rejected", _model(spec)).alias("model"),
@@ -232,6 +232,8 @@ def validate(raw: DataFrame, source: str, now: datetime, earliest: datetime = EA
          .otherwise(F.col("_reasons")).alias("reasons"),
         "verdict",
     )
+    # A filter on the verdict must not be pushed below: it would repeat all checks inside itself.
+    return done.select(*keep, F.inline(F.array(F.struct("record_id", "model", "reasons", "verdict"))))
 
 
 def validate_record(spark, source: str, record_json: str, now: datetime, **bounds) -> DataFrame:

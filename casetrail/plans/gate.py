@@ -14,6 +14,7 @@ from casetrail.operators.reconcile import distinct_dead_letters
 from casetrail.operators.validate import dead_letters, validate
 from casetrail.plans.registry import question
 from casetrail.plans.views_sql import grams, name_norm, pad, phone_norm, sim
+from casetrail.session import cut
 from casetrail.sources import tables
 from casetrail.sources.store import without_prefix
 from casetrail.sources.topics import source_of_topic
@@ -134,8 +135,9 @@ def validate_outcome_counts(spark, folder):
     logins = tables.as_messages(tables.logins(spark, folder), "logins", "event_id")
     messages = delivered_twice(sent_transfers(spark, folder).unionByName(logins))
     bounds = {**BOUNDS, "now": datetime(2024, 3, 1), "earliest": datetime(1996, 1, 1)}
-    transfers = messages.filter("source = 'transactions'")
-    judged = judge(transfers, **BOUNDS).unionByName(judge(messages.filter("source = 'logins'"), **bounds))
+    judged = judge(messages, sources=["transactions"], **BOUNDS).drop("transactions").unionByName(
+        judge(messages, sources=["logins"], **bounds).drop("logins"))
+    judged = cut(judged.select("source", "offset", "partition", "event_key", "verdict"))
     fresh, refused = split_outcomes(judged, spark.createDataFrame([], "event_key string"))
     return outcome_table(judged, fresh, refused)
 

@@ -65,7 +65,7 @@ dq AS ({hashed("asked", "q")}), sq AS ({scaled("dq", "q")}),
 dn AS ({hashed("notes", "note_id")}), sn AS ({scaled("dn", "note_id")}),
 lengths AS (SELECT note_id, sqrt(sum(x * x)) AS n FROM sn GROUP BY note_id),
 dots AS (SELECT note_id, sum(sn.x * sq.x) AS d FROM sn JOIN sq USING (bucket) GROUP BY note_id),
-away AS (SELECT l.note_id, round(1 - coalesce(d, 0) / (n * (SELECT sqrt(sum(x * x)) FROM sq)), 9) AS distance
+away AS (SELECT l.note_id, 0.0 + round(1 - coalesce(d, 0) / (n * (SELECT sqrt(sum(x * x)) FROM sq)), 9) AS distance
          FROM lengths l LEFT JOIN dots USING (note_id))
 SELECT note_id, account_id, round(distance, 4) AS distance,
        row_number() OVER (ORDER BY distance, note_id) AS rank
@@ -81,7 +81,7 @@ def note_knn(spark, folder):
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 q AS (SELECT label, arg_min(e, vec_id) AS qe FROM v GROUP BY label),
 away AS (SELECT CAST(q.label AS VARCHAR) AS query, vec_id,
-         round(1 - list_sum(list_transform(list_zip(e, qe), lambda z: z[1] * z[2]))
+         0.0 + round(1 - list_sum(list_transform(list_zip(e, qe), lambda z: z[1] * z[2]))
                / (sqrt(list_sum(list_transform(e, lambda x: x * x)))
                   * sqrt(list_sum(list_transform(qe, lambda x: x * x)))), 9) AS distance FROM v, q)
 SELECT query, vec_id, round(distance, 4) AS distance,
@@ -100,7 +100,7 @@ def vector_knn(spark, folder):
 @question("""
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 q AS (SELECT label, arg_min(e, vec_id) AS qe FROM v GROUP BY label)
-SELECT vec_id, round(1 - list_sum(list_transform(list_zip(e, qe), lambda z: z[1] * z[2]))
+SELECT vec_id, 0.0 + round(1 - list_sum(list_transform(list_zip(e, qe), lambda z: z[1] * z[2]))
        / (sqrt(list_sum(list_transform(e, lambda x: x * x)))
           * sqrt(list_sum(list_transform(qe, lambda x: x * x)))), 6) AS distance
 FROM v JOIN q USING (label)""", views=False)
@@ -109,7 +109,7 @@ def vector_distance(spark, folder):
     vectors = tables.table(spark, folder, "embeddings")
     first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
     return vectors.join(first, "label").select(
-        "vec_id", F.round(cosine_distance(F.col("embedding"), F.col("first")), 6).alias("distance"))
+        "vec_id", (F.lit(0.0) + F.round(cosine_distance(F.col("embedding"), F.col("first")), 6)).alias("distance"))
 
 
 WORD, LONG_WORD = "[A-Z][a-z]{3,}", "[A-Z][a-z]{7,}"
@@ -139,7 +139,7 @@ def citation_audit(spark, folder):
 
 
 @question("""
-SELECT run_id, CAST(sum(tool_calls) FILTER (WHERE role = 'ai') AS BIGINT) AS tool_calls,
+SELECT run_id, CAST(coalesce(sum(tool_calls) FILTER (WHERE role = 'ai'), 0) AS BIGINT) AS tool_calls,
        CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens
 FROM messages GROUP BY run_id""")
 def transcript_totals(spark, folder):

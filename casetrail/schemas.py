@@ -114,4 +114,7 @@ QUARANTINE = (
 
 def columns(ddl: str) -> list[str]:
     """Column names of one of the schemas above."""
-    return [part.split()[0] for part in re.sub(r"\([^)]*\)", "", ddl).split(",")]
+    flat = re.sub(r"\([^)]*\)", "", ddl)
+    while "<" in flat:
+        flat = re.sub(r"<[^<>]*>", "", flat)
+    return [part.split()[0] for part in flat.split(",")]
