@@ -48,92 +48,83 @@ TRANSFER_LIMIT_NAME = "R1m"
 POISON = "processing error after 3 attempts: text holds a NUL character"
 
 
-def strip(col: Column) -> Column:
-    return F.btrim(col, F.lit(WHITE_SPACE))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _get(field: Field, as_type: str) -> Column:
-    return F.try_variant_get(F.col("_v"), f"$.{field.name}", as_type)
+# The checks of a field are SQL text: one expression per field instead of dozens of small ones.
+def _get(field: Field, as_type: str) -> str:
+    return f"try_variant_get(_v, '$.{field.name}', '{as_type}')"
 
 
-def _json_type(field: Field) -> Column:
-    """STRING, BIGINT, DECIMAL(p,s), ..., VOID for an explicit null; SQL null when absent."""
-    return F.schema_of_variant(_get(field, "variant"))
+def _text(field: Field) -> str:
+    return f"btrim({_get(field, 'string')}, {_quoted(WHITE_SPACE)})"
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+def _json_type(field: Field) -> Column:
+    """STRING, BIGINT, DECIMAL(p,s), ..., VOID for an explicit null; SQL null when absent."""
+    return F.expr(f"schema_of_variant({_get(field, 'variant')})")
 
 
 def _value(field: Field) -> Column:
     """The typed value; null when it cannot be read."""
-    kind = F.col(f"_t_{field.name}")
-    text = strip(_get(field, "string"))
+    kind = f"_t_{field.name}"
+    is_text, is_number = f"{kind} = 'STRING'", f"{kind} rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
     if field.type == "string":
-        return F.when(kind == "STRING", text)
+        return F.expr(f"CASE WHEN {is_text} THEN {_text(field)} END")
     if field.type == "array<string>":
-        return F.when(kind.startswith("ARRAY"), F.transform(_get(field, "array<string>"), strip))
+        return F.expr(f"CASE WHEN startswith({kind}, 'ARRAY') THEN transform({_get(field, 'array<string>')}, "
+                      f"x -> btrim(x, {_quoted(WHITE_SPACE)})) END")
     if field.type == "double":
-        return F.when(kind == "STRING", text.try_cast("double")).when(
-            _is_number(kind) | (kind == "BOOLEAN"), _get(field, "double"))
+        return F.expr(f"CASE WHEN {is_text} THEN try_cast({_text(field)} AS double) "
+                      f"WHEN {is_number} OR {kind} = 'BOOLEAN' THEN {_get(field, 'double')} END")
     if field.type == "boolean":
-        word = F.lower(_get(field, "string"))
-        number = _get(field, "double")
-        return (F.when(kind == "BOOLEAN", _get(field, "boolean"))
-                .when((kind == "STRING") & word.isin(TRUE_WORDS), True)
-                .when((kind == "STRING") & word.isin(FALSE_WORDS), False)
-                .when(_is_number(kind) & number.isin(0.0, 1.0), number == 1.0))
+        word, number = f"lower({_get(field, 'string')})", _get(field, "double")
+        yes, no = (", ".join(map(_quoted, words)) for words in (TRUE_WORDS, FALSE_WORDS))
+        return F.expr(f"CASE WHEN {kind} = 'BOOLEAN' THEN {_get(field, 'boolean')} "
+                      f"WHEN {is_text} AND {word} IN ({yes}) THEN true WHEN {is_text} AND {word} IN ({no}) THEN false "
+                      f"WHEN {is_number} AND {number} IN (0, 1) THEN {number} = 1 END")
     if field.type == "date":
-        return F.when(kind == "STRING", parse_date(text))
-    seconds = _get(field, "double")
-    seconds = F.when(F.abs(seconds) > 2e10, seconds / 1000).otherwise(seconds)
-    return F.when(kind == "STRING", parse_timestamp(text)).when(
-        _is_number(kind), F.timestamp_micros((seconds * 1_000_000).cast("bigint")))
-
-
-def _say(field: Field, text: str) -> Column:
-    return F.lit(f"schema: {field.name}: {text}")
+        return F.when(F.expr(is_text), parse_date(F.expr(_text(field))))
+    number = _get(field, "double")
+    micros = f"CAST({number} * CASE WHEN abs({number}) > 2e10 THEN 1000 ELSE 1000000 END AS bigint)"
+    return F.when(F.expr(is_text), parse_timestamp(F.expr(_text(field)))).when(
+        F.expr(is_number), F.expr(f"timestamp_micros({micros})"))
 
 
-def _field_error(field: Field) -> Column:
+def _field_error(field: Field) -> str:
     """First thing wrong with a field, else null."""
-    kind, value = F.col(f"_t_{field.name}"), F.col(f"_f_{field.name}")
-    absent = kind.isNull()
-    checks: list[tuple[Column, Column]] = []
-    if field.required:
-        checks.append((absent, _say(field, REQUIRED)))
+    kind, value = f"_t_{field.name}", f"_f_{field.name}"
     wrong = {"string": NOT_TEXT, "array<string>": NOT_LIST, "double": NOT_NUMBER,
              "boolean": NOT_BOOLEAN, "date": NOT_DATE, "timestamp": NOT_TIME}[field.type]
-    unreadable = ~absent & value.isNull()
-    if field.nullable:
-        unreadable = unreadable & (kind != "VOID")
-    checks.append((unreadable, _say(field, wrong)))
-    if field.type == "array<string>":
-        at = F.array_position(F.transform(
-            _get(field, "array<variant>"),
-            lambda e: F.coalesce(F.schema_of_variant(e), F.lit("VOID")) == "STRING"), False)
-        checks.append((at > 0, F.concat(F.lit(f"schema: {field.name}."), (at - 1).cast("string"),
-                                        F.lit(f": {NOT_TEXT}"))))
+    checks: list[tuple[str, str]] = []
+    if field.required:
+        checks.append((f"{kind} IS NULL", REQUIRED))
+    unreadable = f"{kind} IS NOT NULL AND {value} IS NULL"
+    checks.append((f"{unreadable} AND {kind} <> 'VOID'" if field.nullable else unreadable, wrong))
     if field.min_len is not None:
-        checks.append((F.length(value) < field.min_len,
-                       _say(field, f"String should have at least {field.min_len} characters")))
+        checks.append((f"length({value}) < {field.min_len}",
+                       f"String should have at least {field.min_len} characters"))
     if field.max_len is not None:
-        checks.append((F.length(value) > field.max_len,
-                       _say(field, f"String should have at most {field.max_len} characters")))
+        checks.append((f"length({value}) > {field.max_len}",
+                       f"String should have at most {field.max_len} characters"))
     if field.pattern:
-        checks.append((~value.rlike(field.pattern),
-                       _say(field, f"String should match pattern '{field.pattern}'")))
+        checks.append((f"NOT {value} rlike {_quoted(field.pattern)}",
+                       f"String should match pattern '{field.pattern}'"))
     if field.choices:
         *most, last = [f"'{c}'" for c in field.choices]
-        checks.append((~value.isin(*field.choices),
-                       _say(field, f"Input should be {', '.join(most)} or {last}")))
+        checks.append((f"{value} NOT IN ({', '.join(map(_quoted, field.choices))})",
+                       f"Input should be {', '.join(most)} or {last}"))
     if field.positive:
         # In Spark NaN is greater than every number.
-        checks.append((~(value > 0) | F.isnan(value), _say(field, NOT_POSITIVE)))
-    chain = F.when(*checks[0])
-    for check in checks[1:]:
-        chain = chain.when(*check)
-    return chain
+        checks.append((f"NOT {value} > 0 OR isnan({value})", NOT_POSITIVE))
+    cases = [f"WHEN {test} THEN {_quoted(f'schema: {field.name}: {says}')}" for test, says in checks]
+    if field.type == "array<string>":
+        texts = (f"transform({_get(field, 'array<variant>')}, "
+                 "e -> coalesce(schema_of_variant(e), 'VOID') = 'STRING')")
+        cases.append(f"WHEN array_position({texts}, false) > 0 THEN concat('schema: {field.name}.', "
+                     f"CAST(array_position({texts}, false) - 1 AS string), {_quoted(f': {NOT_TEXT}')})")
+    return f"CASE {' '.join(cases)} END"
 
 
 def _plausibility(spec: Source, now: datetime, earliest: datetime, limit: float) -> Column:
@@ -147,9 +138,9 @@ def _plausibility(spec: Source, now: datetime, earliest: datetime, limit: float)
                    F.lit(f"{spec.time_field} is before {earliest.year}")),
         ]
     if spec.name == "kyc":
-        opened_text = F.try_variant_get(F.col("_v"), "$.opened_at", "string")
+        opened_text = F.expr("try_variant_get(_v, '$.opened_at', 'string')")
         age = age_on(F.col("_f_date_of_birth"),
-                     F.coalesce(own_date(strip(opened_text)), at.cast("date")))
+                     F.coalesce(own_date(F.trim(opened_text)), at.cast("date")))
         reasons += [
             F.when(normalise_phone(F.col("_f_phone")).isNull(),
                    F.lit("phone is not a valid South African mobile number")),
@@ -175,7 +166,7 @@ def _model(spec: Source) -> Column:
         value = F.col(f"_f_{field.name}")
         if field.name == "amount_zar":
             # From the written number, not from its binary neighbour.
-            value = _get(field, "string").try_cast("decimal(14,2)")
+            value = F.expr(f"try_cast({_get(field, 'string')} AS decimal(14,2))")
         elif not field.required and not field.nullable:
             empty = F.lit("") if field.type == "string" else F.array().cast(field.type)
             value = F.coalesce(value, empty)
@@ -184,15 +175,9 @@ def _model(spec: Source) -> Column:
 
 
 def _holds_nul(spec: Source) -> Column:
-    nul = F.char(F.lit(0))
-    test = F.lit(False)
-    for field in spec.fields:
-        value = F.col(f"_f_{field.name}")
-        if field.type == "string":
-            test = test | F.coalesce(F.contains(value, nul), F.lit(False))
-        elif field.type == "array<string>":
-            test = test | F.coalesce(F.exists(value, lambda x: F.contains(x, nul)), F.lit(False))
-    return test
+    tests = [f"contains(_f_{f.name}, char(0))" for f in spec.fields if f.type == "string"]
+    tests += [f"exists(_f_{f.name}, x -> contains(x, char(0)))" for f in spec.fields if f.type == "array<string>"]
+    return F.expr(" OR ".join(f"coalesce({t}, false)" for t in tests))
 
 
 def validate(raw: DataFrame, source: str, now: datetime, earliest: datetime = EARLIEST,
@@ -211,14 +196,14 @@ def validate(raw: DataFrame, source: str, now: datetime, earliest: datetime = EA
     typed = parsed.select(*keep, "_v", *[_json_type(f).alias(f"_t_{f.name}") for f in spec.fields])
     read = typed.select("*", *[_value(f).alias(f"_f_{f.name}") for f in spec.fields])
 
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    unknown = F.array_except(F.json_object_keys(value),
-                             F.array(*[F.lit(f.name) for f in spec.fields]))
-    errors = [F.when(~is_object, F.lit(f"schema: record: {NOT_RECORD}"))]
+    known = ", ".join(_quoted(f.name) for f in spec.fields)
+    unknown = f"array_except(json_object_keys({value}), array({known}))[0]"
+    errors = [f"CASE WHEN NOT coalesce(startswith(schema_of_variant(_v), 'OBJECT'), false) "
+              f"THEN {_quoted(f'schema: record: {NOT_RECORD}')} END"]
     errors += [_field_error(f) for f in spec.fields]
-    errors += [F.when(F.size(unknown) > 0,
-                      F.concat(F.lit("schema: "), unknown[0], F.lit(f": {UNKNOWN}")))]
-    judged = read.select("*", F.coalesce(*errors).alias("_schema_error"))
+    errors += [f"CASE WHEN size(array_except(json_object_keys({value}), array({known}))) > 0 "
+               f"THEN concat('schema: ', {unknown}, {_quoted(f': {UNKNOWN}')}) END"]
+    judged = read.select("*", F.expr(f"coalesce({', '.join(errors)})").alias("_schema_error"))
 
     reasons = F.when(F.col("_schema_error").isNotNull(), F.array("_schema_error")).otherwise(
         _plausibility(spec, now, earliest, max_transfer))

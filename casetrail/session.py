@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split hot key is worth an extra exchange after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Plans here are built from many small expressions; call-site capture doubles their cost.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
