@@ -19,7 +19,7 @@ def age_on(born: Column, day: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    tidy = F.regexp_replace(F.upper(text), "[_ ]", "T")
+    tidy = F.replace(F.upper(text), F.lit("_"), F.lit("T"))
     return F.when(text.rlike(ISO_TIMESTAMP), tidy.try_cast("timestamp"))
 
 

@@ -18,15 +18,15 @@ def features(text: Column) -> Column:
 
 
 def bucket_and_sign(feature: Column, dim: int = DIM) -> tuple[Column, Column]:
-    """The 128-bit MD5 number modulo dim, and +1 or -1 from its bit 64.
+    """The 128-bit MD5 number modulo dim (up to 32768), and +1 or -1 from its bit 64.
 
-    The number is reduced in four 32-bit steps, so every step fits in a long.
+    The number is reduced in steps of at most 48 bits, so every step fits in a long.
     """
     digest = F.md5(feature)
     rest = F.lit(0).cast("bigint")
-    for part in range(4):
-        word = F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint")
-        rest = (rest * F.lit(1 << 32) + word) % F.lit(dim).cast("bigint")
+    for start, digits in ((1, 8), (9, 12), (21, 12)):
+        word = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+        rest = (rest * F.lit(1 << 4 * digits) + word) % F.lit(dim).cast("bigint")
     odd = F.substring(digest, 16, 1).isin(*"13579bdf")
     return rest, F.when(odd, 1).otherwise(-1)
 

@@ -19,30 +19,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.functions.vectors import DIM, bucket_and_sign, features
+from casetrail.session import spread
 
 Embedder = Callable[[list[str], str], list[list[float]]]
 MAX_K = 20
 MAX_QUERIES = 64
+_CYCLE = 2 ** 15 * 3 * 5 * 7   # every usual vector length divides it
 
 
-@lru_cache(maxsize=1 << 20)
-def _place(feature: str, dim: int) -> tuple[int, int]:
-    number = int.from_bytes(hashlib.md5(feature.encode()).digest(), "big")
-    return number % dim, 1 if number >> 64 & 1 else -1
+@lru_cache(maxsize=1 << 18)
+def _word_places(word: str) -> np.ndarray:
+    """MD5 numbers of a word and its 4-grams as rows (number modulo 2^15 * 3 * 5 * 7, sign bit)."""
+    grams = [word, *(word[i:i + 4] for i in range(max(1, len(word) - 3)))]
+    numbers = [int.from_bytes(hashlib.md5(g.encode()).digest(), "big") for g in grams]
+    return np.array([(n % _CYCLE, n >> 64 & 1) for n in numbers], dtype=np.int64).reshape(-1, 2)
 
 
 def hash_vectors(texts: list[str], kind: str = "document", dim: int = DIM) -> list[list[float]]:
     """Signed counts of hashed words and 4-grams, scaled to length 1. Nothing is shuffled: a text
-    is one row, and few distinct 4-grams exist, so most hashes come from the worker's cache."""
+    is one row, and words repeat, so most hashes come from the worker's cache."""
+    if _CYCLE % dim:
+        raise ValueError(f"dim must divide {_CYCLE}")
     out = []
     for text in texts:
-        places, signs = [], []
-        for word in re.findall("[a-z]+", text.lower()):
-            for feature in [word, *(word[i:i + 4] for i in range(max(1, len(word) - 3)))]:
-                at, sign = _place(feature, dim)
-                places.append(at)
-                signs.append(sign)
-        counts = np.bincount(np.array(places, dtype=np.int64), np.array(signs, dtype=np.float64), dim)
+        words = re.findall("[a-z]+", text.lower())
+        counts = np.zeros(dim)
+        if words:
+            places = np.concatenate([_word_places(word) for word in words])
+            counts = np.bincount(places[:, 0] % dim, 2.0 * places[:, 1] - 1, dim)
         out.append((counts / (np.sqrt(counts @ counts) or 1.0)).tolist())
     return out
 
@@ -57,7 +61,9 @@ def embed(notes: DataFrame, embedder: Embedder = hash_vectors, text: str = "text
                 rows += embedder(part.iloc[start:start + batch].tolist(), "document")
             yield pd.Series([np.round(np.asarray(v, dtype=np.float64), 6).astype(np.float32) for v in rows])
 
-    return notes.withColumn("embedding", vectors(F.coalesce(F.col(text), F.lit(""))))
+    # Marked so that no filter on the result makes the optimizer compute it a second time.
+    vectors = vectors.asNondeterministic()
+    return spread(notes).withColumn("embedding", vectors(F.coalesce(F.col(text), F.lit(""))))
 
 
 def pending(notes: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -73,7 +79,7 @@ def embed_pending(notes: DataFrame, embedded: DataFrame, embedder: Embedder = ha
 def sparse_hash(notes: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
     """The unscaled hashed vector as (key, bucket, value) rows, by built-in functions only."""
     place, sign = bucket_and_sign(F.col("feature"), dim)
-    rows = notes.select(key, F.explode(features(F.col(text))).alias("feature"))
+    rows = spread(notes.select(key, text)).select(key, F.explode(features(F.col(text))).alias("feature"))
     return (rows.select(key, place.alias("bucket"), sign.alias("sign"))
             .groupBy(key, "bucket").agg(F.sum("sign").alias("value")).filter("value <> 0"))
 
@@ -96,6 +102,7 @@ def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int,
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0)
@@ -116,7 +123,7 @@ def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int,
             yield pa.RecordBatch.from_pydict(found, schema=pa.schema(
                 [("query", pa.string()), (key, ids.type), ("distance", pa.float64())]))
 
-    near = vectors.filter(F.col(embedding).isNotNull()).select(key, embedding).mapInArrow(
+    near = vectors.select(key, embedding).mapInArrow(
         best, f"query string, {key} {key_type}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -64,3 +64,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from the written copy."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input over all cores before costly per-row work.
+
+    A large input already has more splits than cores and is left alone: the plan's size estimate is
+    compared with one full file split per core. Small files with a single row group would
+    otherwise keep one core busy and the others idle.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df

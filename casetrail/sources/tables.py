@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetrail.functions.text import normalise_name, normalise_phone
-from casetrail.session import tune
+from casetrail.session import spread, tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -134,6 +134,6 @@ def as_messages(df: DataFrame, source: str, id_field: str, value: Column | None
     """Message envelopes of a view; `arrival` becomes the offset."""
     fields = [c for c in df.columns if c != "arrival"]
     body = F.to_json(F.struct(*fields)) if value is None else value
-    return df.select(F.lit(source).alias("source"), F.lit(f"raw.{source}").alias("topic"),
+    return spread(df).select(F.lit(source).alias("source"), F.lit(f"raw.{source}").alias("topic"),
                      F.lit(0).alias("partition"), F.col("arrival").alias("offset"),
                      F.col(id_field).alias("key"), body.alias("value"))
