@@ -41,6 +41,14 @@ def _best(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n")
 
 
+def _first_bearers(accounts: DataFrame, key: str, wanted: DataFrame, k: int) -> DataFrame:
+    """The k smallest account ids of every wanted key. Accounts with equal keys score alike, so no
+    other account can be among the best k; a key many accounts share stays short in the join."""
+    some = accounts.join(wanted.distinct(), key, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("account_id"))
+    return some.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n")
+
+
 def search_by_id(queries: DataFrame, accounts: DataFrame, links: DataFrame) -> DataFrame:
     """Account and person ids give accounts (at most 25); device and sanctions ids give their node
     when something links to it."""
@@ -49,7 +57,8 @@ def search_by_id(queries: DataFrame, accounts: DataFrame, links: DataFrame) -> D
     found = []
     for kind, column in (("account", "account_id"), ("person", "person_id")):
         some = asked.filter(F.col("_asked") == kind).select("query")
-        hits = some.join(accounts, F.col("query") == F.col(column))
+        bearers = _first_bearers(accounts, column, some.select(F.col("query").alias(column)), EXACT_HITS)
+        hits = some.join(bearers, F.col("query") == F.col(column))
         found.append(_best(_account_hits(hits, exact), [F.col("_tie")], EXACT_HITS))
     other = asked.filter(F.col("_asked").isin("device", "sanction")).select(
         "query", F.col("_asked").alias("kind"), F.concat_ws(":", "_asked", "query").alias("node_id"))
@@ -65,7 +74,8 @@ def search_by_phone(queries: DataFrame, accounts: DataFrame) -> DataFrame:
     """The phone's node, even with no account, and the accounts registered on it (at most 25)."""
     asked = (queries.filter(query_kind(F.col("query")) == "phone")
              .withColumn("_phone", normalise_phone(F.col("query"))))
-    hits = asked.join(accounts, F.col("_phone") == F.col("phone_e164"))
+    bearers = _first_bearers(accounts, "phone_e164", asked.select(F.col("_phone").alias("phone_e164")), EXACT_HITS)
+    hits = asked.join(bearers, F.col("_phone") == F.col("phone_e164"))
     hits = _best(_account_hits(hits, F.lit(1.0)), [F.col("_tie")], EXACT_HITS)
     count = hits.groupBy("query").agg(F.count("*").alias("n"))
     nodes = asked.join(count, "query", "left").select(
@@ -93,7 +103,8 @@ def search_by_name(queries: DataFrame, accounts: DataFrame, sanctions: DataFrame
         return pairs.select(F.col("l_query").alias("query"), F.col("r_name_norm").alias("name_norm"),
                             F.col("score").alias("_score"))
 
-    hits = matched(held, ACCOUNT_MATCH).join(accounts, "name_norm")
+    near = matched(held, ACCOUNT_MATCH)
+    hits = near.join(_first_bearers(accounts, "name_norm", near.select("name_norm"), limit), "name_norm")
     hits = _best(hits, [F.col("_score").desc(), F.col("account_id")], limit)
     entries = matched(listed, SANCTION_MATCH).join(sanctions, "name_norm")
     entries = _best(entries, [F.col("_score").desc(), F.col("entry_id")], SANCTION_HITS)
