@@ -8,6 +8,7 @@ from casetrail.functions.ids import node
 from casetrail.operators.network import degree, labels, network, strongest_links, walk
 from casetrail.plans.money import all_links
 from casetrail.plans.registry import question
+from casetrail.session import cut
 from casetrail.sources import tables
 
 PER_NODE = 12
@@ -99,21 +100,21 @@ def network_depth1(spark, folder):
     """Direct links of every account."""
     accounts, persons = people(spark, folder)
     centers = accounts.select(node("account", F.col("account_id")).alias("center"))
-    return network_rows(network(all_links(spark, folder), centers, accounts, persons, 1, per_node=PER_NODE))
+    return network_rows(network(cut(all_links(spark, folder)), centers, accounts, persons, 1, per_node=PER_NODE))
 
 
 @question(walk_sql(DEVICES, 2, 25, 150) + NETWORK_SQL)
 def network_depth2(spark, folder):
     """Links of links of every device, with the usual limits."""
     accounts, persons = people(spark, folder)
-    return network_rows(network(all_links(spark, folder), device_centers(spark, folder), accounts, persons, 2))
+    return network_rows(network(cut(all_links(spark, folder)), device_centers(spark, folder), accounts, persons, 2))
 
 
 @question(walk_sql(DEVICES, 3, PER_NODE, 60) + NETWORK_SQL)
 def network_depth3_capped(spark, folder):
     """Three hops from every device under limits that cut in."""
     accounts, persons = people(spark, folder)
-    return network_rows(network(all_links(spark, folder), device_centers(spark, folder), accounts, persons, 3,
+    return network_rows(network(cut(all_links(spark, folder)), device_centers(spark, folder), accounts, persons, 3,
                                 per_node=PER_NODE, max_nodes=60))
 
 
@@ -122,7 +123,7 @@ def network_shared_devices(spark, folder):
     """Accounts that share a device with each account."""
     accounts, persons = people(spark, folder)
     centers = accounts.select(node("account", F.col("account_id")).alias("center"))
-    return network_rows(network(all_links(spark, folder), centers, accounts, persons, 2, ["LOGGED_IN_FROM"]))
+    return network_rows(network(cut(all_links(spark, folder)), centers, accounts, persons, 2, ["LOGGED_IN_FROM"]))
 
 
 @question(walk_sql(DEVICES, 1, 25, 150) + """
@@ -131,6 +132,6 @@ SELECT v.center, v.node AS node_id, split_part(v.node, ':', 1) AS kind,
 FROM visited v LEFT JOIN accounts a ON v.node = 'account:' || a.account_id""")
 def network_labels(spark, folder):
     accounts, persons = people(spark, folder)
-    nodes, _, _ = walk(all_links(spark, folder), device_centers(spark, folder), 1)
+    nodes, _, _ = walk(cut(all_links(spark, folder)), device_centers(spark, folder), 1)
     return labels(nodes, accounts, persons).select(
         "center", "node_id", "kind", "label", F.col("ordinal").cast("bigint").alias("ordinal"), "distance")
