@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -26,13 +25,13 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     decompose to several characters with a letter among them go to the expansion map.
     """
     mapped, target, deleted, expanded = [], [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
+    for code in range(0x80, 0x30000):   # no character beyond has a decomposition or combines
         ch = chr(code)
         if unicodedata.combining(ch):
             deleted.append(ch)
             continue
+        if not unicodedata.decomposition(ch):
+            continue
         base = [c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)]
         plain = "".join(c if c.isascii() and c.isalpha() else " " for c in base)
         if not plain.strip():
