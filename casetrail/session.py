@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
@@ -66,6 +67,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _bytes(text: str) -> int:
+    """A size setting such as 134217728b, 128m or 1GB."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input over all cores before costly per-row work.
 
@@ -77,6 +84,6 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b"))
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < split * cores else df
