@@ -15,16 +15,17 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split hot key is worth an extra exchange after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Plans here are built from many small expressions; call-site capture doubles their cost.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Static settings, given only when this module starts the session. Plans here are built from many
+# small expressions; call-site capture doubles their cost.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build(app: str = "casetrail", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**START_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
