@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, line_dedup, mixing, packing, topk
+from llm import exact_dedup, licenses, line_dedup, mixing, packing, pii, topk, toxicity
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,25 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, folder, "documents"), digest=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
+
+
+@question()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.DECISION).cast("int").alias("predicted"))
+
+
+@question()
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *count, F.sha2(pii.span_texts(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_texts(F.col("all")).alias("spans"))
+
+
+@question()
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.license_notices(table(spark, folder, "documents"))
+    return found.withColumn("exact", (F.size("missing") + F.size("added") == 0)).withColumn(
+        "missing", F.array_join("missing", " ")).withColumn("added", F.array_join("added", " "))

@@ -112,9 +112,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, levels=LEVELS, query_bloc
     size = F.size("v").alias("size")
     # Own names on either side: both may come from one table.
     q = queries.select("key", "v", size, F.pmod(F.xxhash64("key", row), F.lit(q_blocks)).alias("q_block"),
-                       F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("long").alias("r_block"))
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("r_block"))
     q = q.toDF("key", "v", "q_size", "q_block", "q_rows")
-    r = rows.select("key", "v", size, F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("q_block"),
+    r = rows.select("key", "v", size,
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q_block"),
                     F.pmod(F.xxhash64("key", row), F.lit(r_blocks)).alias("r_block"))
     r = r.toDF("key", "v", "r_size", "r_queries", "r_block")
     best = q.groupBy("q_size", "q_block", "q_rows").cogroup(r.groupBy("r_size", "r_queries", "r_block")).applyInPandas(

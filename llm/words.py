@@ -56,16 +56,19 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 class Words:
-    """Words of a slice: byte `start` and `end`, and for each row the range `first[row]:first[row + 1]`."""
+    """Words of a slice: byte `start` and `end`, and for each row the range `first[row]:first[row + 1]`.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        inside = ~SPACE[raw]
+    `between` marks the bytes that end words."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE):
+        inside = ~between[raw]
         begins = inside.copy()
         if len(raw):
             begins[1:] &= ~inside[:-1]
             edges = offsets[:-1][offsets[:-1] < len(raw)]
             begins[edges] = inside[edges]
         self.raw = raw
+        self.between = between
         self.start = np.flatnonzero(begins)
         ends = inside.copy()
         if len(raw):
@@ -75,20 +78,28 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of every word, ASCII letters lower-cased on request."""
+    def hashes(self, lower: bool = False, prefixes: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
+        """A 64-bit hash of every word, ASCII letters lower-cased on request.
+
+        With `prefixes`, a list: hashes of whole words, then of their first so many bytes."""
         if not len(self.start):
-            return np.zeros(0, np.uint64)
+            none = np.zeros(0, np.uint64)
+            return [none] * (1 + len(prefixes)) if prefixes else none
         size = self.end - self.start
         powers = np.empty(int(size.max()), np.uint64)
         powers[0] = 1
-        np.multiply.accumulate(np.full(len(powers) - 1, BASE), out=powers[1:])
-        inside = ~SPACE[self.raw]
+        powers[1:] = np.multiply.accumulate(np.full(len(powers) - 1, BASE))
+        inside = ~self.between[self.raw]
         values = (BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[self.raw[inside]]
         at = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=at[1:])
-        values *= powers[np.arange(at[-1]) - np.repeat(at[:-1], size)]
-        return mix(np.add.reduceat(values, at[:-1]) + size.astype(np.uint64))
+        place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+        values *= powers[place]
+        out = [mix(np.add.reduceat(values, at[:-1]) + size.astype(np.uint64))]
+        for n in prefixes:
+            values[place >= n] = 0
+            out.insert(1, mix(np.add.reduceat(values, at[:-1]) + np.uint64(n)))
+        return out if prefixes else out[0]
 
 
 def sequence_hash(hashes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
