@@ -104,12 +104,22 @@ def value_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}@]", ""))
 
 
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def span_texts(spans: Column) -> Column:
     """kind:start:end, comma-joined, of spans (order, start, end, kind) in order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _labelled(spans: Column, order: int, kind: str | None) -> Column:
+    return F.transform(spans, lambda s: F.struct(
+        F.lit(order).alias("order"), s["start"].alias("start"), s["end"].alias("end"),
+        F.lit(kind).cast("string").alias("kind"), s["value"].alias("value")))
+
+
 def _read(docs: DataFrame) -> DataFrame:
     """doc_id, row, base (all base spans), seen (base spans and candidates with their contexts)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -118,15 +128,11 @@ def _read(docs: DataFrame) -> DataFrame:
         df = df.withColumn(kind, base_spans(F.col("text"), kind))
     df = df.withColumn("more", F.when(F.col("text").rlike("[0-9]"), candidates(F.col("text"))).otherwise(
         F.array().cast(_SPAN)))
-    base = F.flatten(F.array(*[F.transform(kind, lambda s, n=n, kind=kind: F.struct(
-        F.lit(n).alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-        s["value"].alias("value"))) for n, kind in enumerate(KINDS)]))
+    base = F.concat(*[_labelled(F.col(kind), n, kind) for n, kind in enumerate(KINDS)])
     df = df.withColumn("base", base)
     free = F.filter("more", lambda c: (F.length(c["value"]) > 0) & ~F.exists(
         "base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    free = F.transform(free, lambda s: F.struct(
-        F.lit(len(KINDS)).alias("order"), s["start"].alias("start"), s["end"].alias("end"),
-        F.lit(None).cast("string").alias("kind"), s["value"].alias("value")))
+    free = _labelled(free, len(KINDS), None)
     seen = F.transform(F.concat("base", free), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         value_key(s["value"]).alias("value"), context(F.col("text"), s["start"]).alias("pattern")))
