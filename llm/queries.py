@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, licenses, line_dedup, mixing, packing, pii, topk, toxicity
+from llm import exact_dedup, licenses, line_dedup, mixing, packing, pii, substring_dedup, topk, toxicity
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,10 +41,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @question("""
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                FROM embeddings),
     p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1),
-                 i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+                 lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
@@ -101,3 +101,20 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.license_notices(table(spark, folder, "documents"))
     return found.withColumn("exact", (F.size("missing") + F.size("added") == 0)).withColumn(
         "missing", F.array_join("missing", " ")).withColumn("added", F.array_join("added", " "))
+
+
+@question("""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+    p AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+    h AS (SELECT p.r, p.i, md5(array_to_string(list_slice(d.w, p.i, p.i + 34), ' ')) AS h FROM p JOIN d USING (r)),
+    c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+    x AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM c),
+    g AS (SELECT r, list(i) AS gone FROM x GROUP BY r)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1),
+             lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN g USING (r)""")
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeated(table(spark, folder, "documents"), digest=True)
+    return kept.withColumnRenamed("kept", "kept_sha256")
