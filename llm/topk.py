@@ -63,25 +63,31 @@ def block_best(q_ids, q, c_ids, c, k: int, levels=LEVELS) -> tuple[np.ndarray, n
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     slack = 1e-9 * np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(cf, axis=1).max() + 1
     bound = statistics(qf, levels[0]) @ statistics(cf, levels[0]).T + slack
-    bound[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    same = np.nonzero(q_ids[:, None] == c_ids[None, :])
+    bound[same] = -np.inf
     # The k candidates with the best bounds give a first k-th best score that truly occurs.
     few = min(k + 1, len(c))
     rows = np.repeat(np.arange(len(q)), few)
     cols = np.argpartition(-bound, few - 1, axis=1)[:, :few].ravel()
-    other = q_ids[rows] != c_ids[cols]
-    first = np.where(other, exact_scores(q[rows], c[cols]).astype(np.float64), -np.inf).reshape(len(q), few)
-    least = np.sort(first, axis=1)[:, -k] if few >= k else np.full(len(q), -np.inf)
-    least = least - 1
-    rows, cols = np.nonzero((bound >= least[:, None]) & (bound > -np.inf))
+    first = exact_scores(q[rows], c[cols]).astype(np.float64)
+    first = np.where(q_ids[rows] != c_ids[cols], first, -np.inf).reshape(len(q), few)
+    least = (np.sort(first, axis=1)[:, -k] if few >= k else np.full(len(q), -np.inf))[:, None] - 1
+    open_ = (bound >= least) & (bound > -np.inf)
+    left = np.arange(len(c))
     for level in levels[1:]:
-        a, b = statistics(qf, level), statistics(cf, level)
-        keep = np.concatenate([
-            np.einsum("ij,ij->i", a[rows[i:i + 100_000]], b[cols[i:i + 100_000]]) + slack[rows[i:i + 100_000], 0]
-            >= least[rows[i:i + 100_000]] for i in range(0, len(rows), 100_000)] or [np.zeros(0, bool)])
-        rows, cols = rows[keep], cols[keep]
-    scores = np.concatenate([exact_scores(q[rows[i:i + 100_000]], c[cols[i:i + 100_000]])
-                             for i in range(0, len(rows), 100_000)] or [np.zeros(0, np.int64)])
-    return _first(rows, cols, scores, c_ids, k)
+        some = open_.any(axis=0)
+        left, open_ = left[some], open_[:, some]
+        open_ &= statistics(qf, level) @ statistics(cf[left], level).T + slack >= least
+    some = open_.any(axis=0)
+    left, open_ = left[some], open_[:, some]
+    if float(np.abs(qf).max()) * float(np.abs(cf).max()) * q.shape[1] < 2 ** 53:
+        scores = np.where(open_, qf @ cf[left].T, -np.inf)  # whole numbers, exact in floats
+        if scores.shape[1] > k:
+            open_ &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
+        rows, cols = np.nonzero(open_)
+        return _first(rows, left[cols], scores[rows, cols].astype(np.int64), c_ids, k)
+    rows, cols = np.nonzero(open_)
+    return _first(rows, left[cols], exact_scores(q[rows], c[left[cols]]), c_ids, k)
 
 
 def _first(rows, cols, scores, c_ids, k: int):
