@@ -6,12 +6,12 @@ would separate nothing. Regions are therefore formed in two steps.
 1. Every set looks for pivots through its rarest shingles. Two sets that reach the threshold share one of
    their first size - ceil(t * size) + 1 shingles in any common order (here by hash, very common ones last).
    All sets that share such a shingle belong to the region of one pivot, the set of highest priority among
-   them; since priorities are global, most shingles of a group of copies choose the same pivot. A set
-   is replicated to the regions of all its pivots.
+   them (the least digest); since priorities are global, most shingles of a group of copies choose the
+   same pivot. A set is replicated to the regions of all its pivots.
 2. A set keeps its place in a region only if some other set there can reach the threshold, by sizes and by
    the counts of shingles in 64 fixed classes: the L1 distance of the counts is never more
-   than the symmetric difference.
-3. Regions still too large for one task are divided again around a pivot of their own: rings of the
+   than the symmetric difference. Regions that still share a set then become one.
+3. Regions too large for one task are divided again around a pivot of their own: rings of the
    threshold's width by exact distance to it. By the triangle inequality linked sets lie in one ring or in
    neighbouring rings, so each ring is joined with the next one. This is repeated to a fixed depth; what is
    still large after that is joined block by block.
@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.bloom import build, holds
 from llm.common import written
 from llm.components import components
 from llm.words import Words, mix, sequence_hash, slices
 
 CLASSES = 64
 HOT_TOKENS, HOT_LEAST = 100_000, 64
-BLOCK, BLOCK_SHINGLES, DEPTH = 512, 2_000_000, 2
+BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 512, 2_000_000, 8, 2
 SLICE = 2 << 20
 OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -91,11 +92,14 @@ def _prefixes(width: int, num: int, den: int, hot=None, longer: float = 1.0):
     """(node, token) of the first shingles of each set; hot tokens come last, the commonest at the very end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = (np.frombuffer(x, np.uint64) for x in hot.value) if hot else (np.zeros(0, np.uint64),) * 2
+        seen = set()
         for batch in batches:
             nodes, out = [], []
             for s in shingle_sets(batch.column("text"), width):
-                if not len(s):
+                node = digests(s)[0]
+                if not len(s) or node in seen:  # copies in a task count once
                     continue
+                seen.add(node)
                 want = prefix_length(len(s), num, den)
                 first = s[:int(want * longer)]
                 if len(tokens):
@@ -106,7 +110,7 @@ def _prefixes(width: int, num: int, den: int, hot=None, longer: float = 1.0):
                         late = s[common][np.argsort(ranks[at[common]], kind="stable")]
                         first = np.concatenate([s[~common], late])[:want]
                 out.append(first)
-                nodes.append(np.full(len(first), digests(s)[0], np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(out).view(np.int64))],
                                       ["node", "token"])
@@ -275,13 +279,18 @@ def _rings(num: int, den: int):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, wanted):
+    """Sets of documents whose id passes the filter of wanted ids; copies once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, bits = wanted.value
+        packed, seen = np.frombuffer(data, np.uint8), set()
         for batch in batches:
-            nodes, want = [], batch.column("node").to_pylist()
-            found, counts = [], []
-            for s, node in zip(shingle_sets(batch.column("text"), width), want, strict=True):
-                if digests(s)[0] == node:  # another row of the same id may have another text
+            some = batch.filter(pa.array(holds(packed, bits, batch.column("doc_id").to_numpy())))
+            nodes, found, counts = [], [], []
+            for s in shingle_sets(some.column("text"), width):
+                node = digests(s)[0]
+                if len(s) and node not in seen:
+                    seen.add(node)
                     nodes.append(node)
                     found.append(s.tobytes())
                     counts.append(class_counts(s).astype(np.uint8).tobytes())
@@ -297,29 +306,36 @@ def _sorted_groups(df: DataFrame) -> DataFrame:
 def regions(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """region, node, n_shingles: sets that can have a link, in the regions of their pivots."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(docs, width, num, den))
-    held = docs.select("text").mapInArrow(_prefixes(width, num, den, hot), "node long, token long").distinct()
-    held = written(held, "prefixes")
-    priority = F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("pivot"))
-    pivots = written(held.groupBy("token").agg(F.count("*").alias("n"), F.min(priority).alias("first"))
-                     .filter("n > 1").select("token", F.col("first.pivot").alias("region")), "pivots")
+    held = written(docs.select("text").mapInArrow(_prefixes(width, num, den, hot), "node long, token long"), "prefixes")
+    pivots = written(held.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+                     .filter("low < high").select("token", F.col("low").alias("region")), "pivots")
     members = held.join(pivots, "token").select("region", "node").distinct()
     members = written(members.join(nodes.select("node", "n_shingles", "counts"), "node"), "members")
     near = _sorted_groups(blocked(members, 2 * BLOCK)).select("region", "pair", "side", "node", "n_shingles", "counts")
     return written(near.mapInArrow(_near(num, den), "region long, node long, n_shingles long").distinct(), "near")
 
 
+def merged(members: DataFrame) -> DataFrame:
+    """Regions that share a set become one, so each set is in one region only."""
+    parts = components(members.select(F.col("region").alias("a"), F.col("node").alias("b")))
+    own = members.select("node", "n_shingles").distinct()
+    return written(own.join(parts, "node").select(F.col("component").alias("region"), "node", "n_shingles"), "merged")
+
+
 def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, block: int = BLOCK,
           depth: int = DEPTH) -> DataFrame:
     """a, b: links between different sets, enough to connect everything that is connected."""
     members = regions(docs, nodes, width, num, den)
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("rep").alias("doc_id"))
-    sets = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").mapInArrow(
-        _full_sets(width), "node long, shingles binary, counts binary").dropDuplicates(["node"]), "sets")
+    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "rep"), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), wanted.count()))
+    sets = written(docs.select("doc_id", "text").mapInArrow(
+        _full_sets(width, shared), "node long, shingles binary, counts binary").join(wanted.select("node"), "node"), "sets")
+    members = merged(members)
     found = []
     for level in range(depth):
         sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct(
             F.xxhash64(F.lit(level), "node").alias("p"), "node")).alias("first"))
-        large = written(sizes.filter(F.col("n") > block).select("region", F.col("first.node").alias("pivot")), "large")
+        large = written(sizes.filter(F.col("n") > LARGE * block).select("region", F.col("first.node").alias("pivot")), "large")
         if large.isEmpty():
             break
         pivots = written(large.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")),
