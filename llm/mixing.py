@@ -20,13 +20,13 @@ are documents of their own (their order among themselves is left open).
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 16
 BUCKET = 2048
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Target weights by source where a caller gives none: equal shares, the first three sources doubled.
 DEFAULT_WEIGHTS = {"src0": 2, "src1": 2, "src2": 2}
 
@@ -75,45 +75,51 @@ def phases(blocks: dict, weights: dict) -> list[dict]:
     return out
 
 
-def numbered(docs: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
-    """docs with `number`: a dense count from 0 for each value of `key`, in an order shuffled by hash.
+def numbered(rows: DataFrame, key: str, order: str, bucket: int = BUCKET) -> DataFrame:
+    """rows with `number`: a dense count from 0 for each value of `key` (no nulls), in the order of a hash of `order`.
 
-    Rows are counted by (key, bucket) first; only these counts are summed up along a key.
+    Rows are counted by (key, bucket) first and only these counts are summed up along a key; the count
+    within a bucket and the sum meet in one partitioning, so the rows themselves move once.
     """
-    buckets = max(1, -(-docs.count() // bucket))
-    dealt = docs.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    buckets = max(1, -(-rows.count() // bucket))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
     counts = dealt.groupBy(key, "_b").agg(F.count("*").alias("_n"))
-    before = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), (F.sum("_n").over(
-        Window.partitionBy(key).orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id"))
-    out = dealt.withColumn("_i", inside).join(
-        before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")))
-    return out.withColumn("number", F.col("_before") + F.col("_i") - 1).drop("_b", "_c", "_k", "_i", "_before")
+    before = counts.select(key, "_b", (F.sum("_n").over(Window.partitionBy(key).orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy(F.xxhash64(F.lit(7), order), order))
+    out = dealt.withColumn("_i", inside).join(before, [key, "_b"])
+    return out.withColumn("number", F.col("_before") + F.col("_i") - 1).drop("_b", "_i", "_before")
+
+
+def source_key(source: Column) -> Column:
+    """A key without nulls."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
-    """docs with `slot`, `release`, `deadline` (slots, the last excluded) and `position` within the slot.
+    """The columns of COLUMNS that docs has, and `block`, `slot`, `release`, `deadline` and `position`.
 
-    (slot, position) is the mixed order. Weights are whole numbers; without any, all sources are equal.
+    (slot, position) is the mixed order; a block may take the slots from release to deadline, the
+    deadline excluded. Weights are whole numbers by source; without any, all sources are equal.
     """
-    spark = docs.sparkSession
-    counted = {r["source"]: -(-r["n"] // block) for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    known = {s: max(1, int((weights or {}).get(s, 1))) for s in counted}
-    plan = phases(counted, known)
-    kind = docs.schema["source"].dataType.simpleString()
-    rows: Iterable = [(p["source"], p["taken"], p["base"], p["round"], p["offsets"]) for p in plan]
-    table = spark.createDataFrame(list(rows), f"_s {kind}, _taken long, _base long, _round long, _offsets array<long>")
+    carried = [c for c in COLUMNS if c in docs.columns]
+    rows = docs.select(*carried, source_key(F.col("source")).alias("_s"))
+    counted = {r["_s"]: -(-r["n"] // block) for r in rows.groupBy("_s").agg(F.count("*").alias("n")).collect()}
+    given = {f"s{name}": int(n) for name, n in (weights or {}).items() if name is not None}
+    known = {s: max(1, given.get(s, 1)) for s in counted}
+    plan = [(p["source"], p["taken"], p["base"], p["round"], p["offsets"]) for p in phases(counted, known)]
+    table = docs.sparkSession.createDataFrame(
+        plan, "_s string, _taken long, _base long, _round long, _offsets array<long>")
     # One row a source: its phases in order. At most sources * (sources + 1) / 2 entries of at most the largest weight.
     table = table.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct(
         "_taken", "_base", "_round", "_offsets"))).alias("_phases"))
-    out = numbered(docs, "source", bucket).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")))
+    out = numbered(rows, "_s", "doc_id", bucket).join(F.broadcast(table), "_s")
     out = out.withColumn("_j", F.floor(F.col("number") / block)).withColumn(
         "_p", F.element_at(F.filter("_phases", lambda p: p["_taken"] <= F.col("_j")), -1))
     j, size = F.col("_j") - F.col("_p._taken"), F.size("_p._offsets")
     slot = F.col("_p._base") + F.floor(j / size) * F.col("_p._round") + F.element_at(
         "_p._offsets", (j % size + 1).cast("int"))
     return out.select(
-        *docs.columns, F.col("_j").alias("block"), slot.cast("long").alias("slot"),
+        *carried, F.col("_j").alias("block"), slot.cast("long").alias("slot"),
         (F.col("_p._base") + F.floor(j * F.col("_p._round") / size)).alias("release"),
         (F.col("_p._base") + F.ceil((j + 1) * F.col("_p._round") / size)).alias("deadline"),
         (F.col("number") % block).alias("position"))

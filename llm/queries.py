@@ -62,8 +62,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @question()
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"), mixing.DEFAULT_WEIGHTS)
-    return mixed.drop("text")
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source"), mixing.DEFAULT_WEIGHTS)
 
 
 @question(f"""

@@ -6,7 +6,7 @@ whole text; each filter's largest answer goes into a logistic layer. Training us
 of labelled rows (TRAIN_CLEAN and TRAIN_TOXIC documents, TRAIN_WORDS words); scoring reads every
 document whole, in tasks, with the model as a broadcast of fixed size.
 
-Thresholds are calibrated by language on a part of the sample that training did not see. A score
+Thresholds are calibrated by language on scores of sample texts by models that did not see them. A score
 never reads the language column: the language is guessed from the words (naive Bayes on the same hashes).
 The score is shifted by its language's threshold, so DECISION separates the classes in every language.
 
@@ -29,7 +29,7 @@ from llm.words import SPACE, Words, slices
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (6, 4)
 TRAIN_CLEAN, TRAIN_TOXIC, TRAIN_WORDS = 4000, 2000, 4_000_000
-EPOCHS, BATCH, RATE = 6, 32, 0.1
+STEPS, BATCH, RATE, FOLDS, LEAST_TEXTS = 1000, 32, 0.1, 3, 3
 DECISION = 0.3
 SLICE = 1 << 20
 LANGUAGES = 16
@@ -51,7 +51,7 @@ class Model:
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
-        self.embedding = (r.normal(0, 0.3, (BUCKETS + 1, DIMENSIONS))).astype(np.float32)
+        self.embedding = (r.normal(0, 0.01, (BUCKETS + 1, DIMENSIONS))).astype(np.float32)
         self.embedding[BUCKETS] = 0
         self.filters = [r.normal(0, 0.3, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.offsets = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
@@ -97,36 +97,35 @@ class Model:
         return 1 / (1 + np.exp(-shifted))
 
 
-def train(model: Model, texts: list[np.ndarray], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> None:
+def train(model: Model, texts: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, seed: int = 6) -> None:
     """Adagrad on the weighted logistic loss; only the words that gave a filter's largest answer learn."""
     r = np.random.default_rng(seed)
     dense = [*model.filters, *model.offsets, model.out]
     seen = [np.full_like(p, 1e-3) for p in dense]
     seen_words = np.full(BUCKETS + 1, 1e-3, np.float32)
     weight = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum())) * len(toxic)
-    for _ in range(epochs):
+    for _ in range(-(-steps * BATCH // len(texts))):
         order = r.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             some = order[k:k + BATCH]
-            first = np.cumsum([0, *(len(texts[i]) for i in some)])
-            ids = np.concatenate([texts[i] for i in some])
+            ids, first = joined([texts[i] for i in some])
             raw, where, padded, x = model.pooled(ids, first, places=True)
             top = np.maximum(raw, 0)
             p = 1 / (1 + np.exp(-np.clip(top @ model.out + model.bias, -30, 30)))
             slope = ((p - toxic[some]) * weight[some] / len(some)).astype(np.float32)
             back = np.outer(slope, model.out) * (raw > 0)
-            steps = [*(np.zeros_like(f) for f in model.filters), *(np.zeros_like(b) for b in model.offsets),
-                     slope @ top]
+            slopes = [*(np.zeros_like(f) for f in model.filters), *(np.zeros_like(b) for b in model.offsets),
+                      slope @ top]
             words, moves = [], []
             for i, f in enumerate(model.filters):
                 g = back[:, i * FILTERS:(i + 1) * FILTERS]
-                steps[len(WIDTHS) + i] = g.sum(axis=0)
+                slopes[len(WIDTHS) + i] = g.sum(axis=0)
                 for o in range(len(f)):
                     at = where[i] + o
-                    steps[i][o] = np.einsum("bf,bfd->df", g, x[at])
+                    slopes[i][o] = np.einsum("bf,bfd->df", g, x[at])
                     words.append(padded[at].reshape(-1, HASHES))
                     moves.append((g[:, :, None] * f[o].T[None]).reshape(-1, DIMENSIONS))
-            for value, step, past in zip(dense, steps, seen, strict=True):
+            for value, step, past in zip(dense, slopes, seen, strict=True):
                 past += step * step
                 value -= RATE * step / np.sqrt(past)
             model.bias -= np.float32(RATE * slope.sum())
@@ -151,11 +150,12 @@ def best_threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
     return float(z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 2)) / 2
 
 
-def calibrate(model: Model, texts: list[np.ndarray], toxic: np.ndarray, least: int = 20) -> None:
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+
+
+def calibrate(model: Model, spoken: np.ndarray, logits: np.ndarray, toxic: np.ndarray, least: int = 20) -> None:
     """A threshold for each guessed language; languages with few cases of a kind take the common one."""
-    first = np.cumsum([0, *map(len, texts)])
-    ids = np.concatenate(texts)
-    logits, spoken = model.logits(ids, first), model.language(ids, first)
     common = best_threshold(logits, toxic)
     for k in range(len(model.thresholds)):
         mine = spoken == k
@@ -212,14 +212,28 @@ def fit(rows: list) -> Model | None:
         return None
     texts = [np.frombuffer(r["ids"], np.uint16).astype(np.int32).reshape(-1, HASHES) for r in rows]
     toxic = np.array([r["toxic"] for r in rows])
-    test = np.arange(len(rows)) % 5 == 4
-    if len(set(toxic[test])) < 2 or len(set(toxic[~test])) < 2:
-        test = np.ones(len(rows), bool)  # too few rows to part
-    part = ~test if not test.all() else test
     model = Model()
     learn_languages(model, texts, [r["lang"] for r in rows])
-    train(model, [texts[i] for i in np.flatnonzero(part)], toxic[part])
-    calibrate(model, [texts[i] for i in np.flatnonzero(test)], toxic[test])
+    spoken = model.language(*joined(texts))
+    # What stands in a few texts only says nothing about others: such buckets stay at zero.
+    seen_in = np.zeros(BUCKETS + 1, np.int64)
+    for ids in texts:
+        seen_in[np.unique(ids)] += 1
+    rare = seen_in < LEAST_TEXTS
+    texts = [np.where(rare[ids], BUCKETS, ids).astype(np.int32) for ids in texts]
+    # Every text is scored once by a model that has not seen it; these scores set the thresholds.
+    unseen, part = np.zeros(len(rows)), np.empty(len(rows), np.int64)
+    for kind in (0, 1):
+        part[toxic == kind] = np.arange(int((toxic == kind).sum())) % FOLDS
+    for k in range(FOLDS):
+        other, mine = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if len(mine) and len(set(toxic[other])) == 2:
+            one = Model(seed=50 + k)
+            train(one, [texts[i] for i in other], toxic[other])
+            unseen[mine] = one.logits(*joined([texts[i] for i in mine]))
+    train(model, texts, toxic)
+    model.embedding[rare] = 0
+    calibrate(model, spoken, unseen, toxic)
     return model
 
 
@@ -228,9 +242,9 @@ def _score(shared):
         model = shared.value
         for batch in batches:
             found = [np.zeros(0)]
-            for a, b, raw, offsets in slices(batch.column("text"), SLICE):
+            for a, b, raw, offsets in slices(batch.column("_text"), SLICE):
                 found.append(model.scores(*word_ids(raw, offsets)) if model else np.zeros(b - a))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "text"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
             yield pa.record_batch([*(batch.column(i) for i in keep), pa.array(np.concatenate(found), pa.float64())],
                                   [*(batch.schema.names[i] for i in keep), "score"])
     return run
@@ -240,6 +254,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] = ("doc_id",),
     """The columns of `carry` and the score of every document."""
     model = fit(training_rows(docs, labels, **sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carry, F.col("text").alias("text"))
+    rows = docs.select(*carry, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_score(shared), f"{kinds}, score double")
