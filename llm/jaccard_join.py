@@ -42,7 +42,7 @@ from llm.words import Words, mix, sequence_hash, slices
 
 CLASSES = 64
 HOT_TOKENS, HOT_LEAST = 100_000, 64
-BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 512, 2_000_000, 8, 2
+BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 2048, 4_000_000, 4, 2
 SLICE = 2 << 20
 OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -311,7 +311,7 @@ def regions(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -
                      .filter("low < high").select("token", F.col("low").alias("region")), "pivots")
     members = held.join(pivots, "token").select("region", "node").distinct()
     members = written(members.join(nodes.select("node", "n_shingles", "counts"), "node"), "members")
-    near = _sorted_groups(blocked(members, 2 * BLOCK)).select("region", "pair", "side", "node", "n_shingles", "counts")
+    near = _sorted_groups(blocked(members, BLOCK)).select("region", "pair", "side", "node", "n_shingles", "counts")
     return written(near.mapInArrow(_near(num, den), "region long, node long, n_shingles long").distinct(), "near")
 
 
