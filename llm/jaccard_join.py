@@ -4,7 +4,7 @@ Jaccard distance is a metric, but the distance of unrelated texts is close to 1,
 would separate nothing. Regions are therefore formed in two steps.
 
 1. Every set looks for pivots through its rarest shingles. Two sets that reach the threshold share one of
-   their first size - ceil(t * size) + 1 shingles in any common order (here by hash, very common ones last).
+   their first size - ceil(t * size) + 1 shingles in any common order (here by hash, common ones last).
    All sets that share such a shingle belong to the region of one pivot, the set of highest priority among
    them (the least digest); since priorities are global, most shingles of a group of copies choose the
    same pivot. A set is replicated to the regions of all its pivots.
@@ -32,16 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bloom import build, holds
 from llm.common import written
 from llm.components import components
+from llm.sketch import cell, counts
 from llm.words import Words, mix, sequence_hash, slices
 
 CLASSES = 64
-HOT_TOKENS, HOT_LEAST = 100_000, 64
+FINE_CLASSES = 256
+CROWD = 64
 BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 2048, 4_000_000, 4, 2
 SLICE = 2 << 20
 OTHER = np.uint64(0xA0761D6478BD642F)
@@ -67,8 +70,9 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size + (-num * size) // den + 1 if size else 0
 
 
-def class_counts(found: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount(((found >> np.uint64(7)) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255)
+def class_counts(found: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    return np.minimum(np.bincount(((found >> np.uint64(7)) % np.uint64(classes)).astype(np.int64), minlength=classes),
+                      255).astype(np.uint8)
 
 
 def digests(found: np.ndarray) -> tuple[int, int]:
@@ -79,7 +83,7 @@ def digests(found: np.ndarray) -> tuple[int, int]:
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *digests(s), class_counts(s).astype(np.uint8).tobytes())
+            found = [(len(s), *digests(s), class_counts(s).tobytes())
                      for s in shingle_sets(batch.column("text"), width)]
             n, one, two, counts = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
@@ -88,27 +92,35 @@ def _sets(width: int):
     return run
 
 
-def _prefixes(width: int, num: int, den: int, hot=None, longer: float = 1.0):
-    """(node, token) of the first shingles of each set; hot tokens come last, the commonest at the very end."""
+def prefix(found: np.ndarray, want: int, late: np.ndarray | None) -> np.ndarray:
+    """The first `want` shingles by hash, those of crowded cells at the end, the fullest cell last."""
+    first = found[:want]
+    if late is None or not late[cell(first)].any():
+        return first
+    rank = late[cell(found)]
+    order = np.lexsort((found, rank))
+    return found[order[:want]]
+
+
+def _prefix_tokens(width: int, num: int, den: int):
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        out = [s[:prefix_length(len(s), num, den)] for s in shingle_sets(batch.column("text"), width)]
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return run
+
+
+def _prefixes(width: int, num: int, den: int, late):
+    """(node, token) of the first shingles of each set; copies in a task count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ranks = (np.frombuffer(x, np.uint64) for x in hot.value) if hot else (np.zeros(0, np.uint64),) * 2
-        seen = set()
+        seen, ranks = set(), np.frombuffer(late.value, np.uint32)
         for batch in batches:
             nodes, out = [], []
             for s in shingle_sets(batch.column("text"), width):
                 node = digests(s)[0]
-                if not len(s) or node in seen:  # copies in a task count once
+                if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                want = prefix_length(len(s), num, den)
-                first = s[:int(want * longer)]
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, first), len(tokens) - 1)
-                    if (tokens[at] == first).any():
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        common = tokens[at] == s
-                        late = s[common][np.argsort(ranks[at[common]], kind="stable")]
-                        first = np.concatenate([s[~common], late])[:want]
+                first = prefix(s, prefix_length(len(s), num, den), ranks)
                 out.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
             if out:
@@ -117,20 +129,11 @@ def _prefixes(width: int, num: int, den: int, hot=None, longer: float = 1.0):
     return run
 
 
-def hot_tokens(docs: DataFrame, width: int, num: int, den: int) -> list[bytes]:
-    """Tokens that stand in so many prefixes that at most HOT_TOKENS can do so, and their order by count."""
-    seen = docs.select("text").mapInArrow(_prefixes(width, num, den, longer=1.3), "node long, token long")
-    counts = written(seen.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST), "counts")
-    rows = docs.count()
-    most = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(HOT_LEAST, most // HOT_TOKENS + 1, rows // HOT_TOKENS)
-    common = counts.filter(F.col("n") >= least).collect()  # at most HOT_TOKENS rows, as their counts add up to `most`
-    tokens = np.array([r["token"] for r in common], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in common], np.int64)
-    order = np.argsort(tokens)
-    ranks = np.empty(len(n), np.uint64)
-    ranks[np.lexsort((tokens, n))] = np.arange(len(n), dtype=np.uint64)
-    return [tokens[order].tobytes(), ranks[order].tobytes()]
+def crowded(docs: DataFrame, width: int, num: int, den: int) -> bytes:
+    """For each cell of the sketch its count if far above the mean, else 0: an order of shingles by how common they are."""
+    table = counts(docs.select("text"), _prefix_tokens(width, num, den))
+    least = 2 * table.mean() + CROWD
+    return np.where(table >= least, np.minimum(table, 2 ** 32 - 1), 0).astype(np.uint32).tobytes()
 
 
 def blocked(members: DataFrame, block: int, weight: str | None = None, most: int = 0) -> DataFrame:
@@ -218,13 +221,14 @@ def _near(num: int, den: int):
     return run
 
 
-def _exact(num: int, den: int):
+def _exact(width: int, num: int, den: int):
     """Links that connect sets not connected before, in each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, 1000):
-            counts, bounds = _counts_of(table), _groups(table)
+            bounds = _groups(table)
             size, side, node = (table[c].to_numpy() for c in ("n_shingles", "side", "node"))
-            sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+            sets = unpacked(table["packed"].to_pylist(), width)
+            counts = np.stack([class_counts(s, FINE_CLASSES) for s in sets])
             left, right = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 i, j, apart = near_pairs(counts[a:b], size[a:b], side[a:b], num, den)
@@ -261,13 +265,13 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(x) + len(y) - shared)
 
 
-def _rings(num: int, den: int):
+def _rings(width: int, num: int, den: int):
     """Distance to the region's pivot, in widths of the threshold; and whether it is a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ring, link = [], []
-            for mine, pivot in zip(batch.column("shingles"), batch.column("pivot_shingles"), strict=True):
-                x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(pivot.as_py(), np.uint64)
+            both = [unpacked(batch.column(c).to_pylist(), width) for c in ("packed", "pivot_packed")]
+            for x, y in zip(*both, strict=True):
                 shared = common(x, y)
                 union = len(x) + len(y) - shared
                 # floor(distance / (1 - t)) in whole numbers
@@ -279,34 +283,37 @@ def _rings(num: int, den: int):
     return run
 
 
-def _full_sets(width: int, wanted):
-    """Sets of documents whose id passes the filter of wanted ids; copies once a task."""
+def _wanted_texts(width: int, wanted):
+    """Compressed texts, smaller than their sets, of documents whose id passes the filter; copies once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bits = wanted.value
         packed, seen = np.frombuffer(data, np.uint8), set()
         for batch in batches:
             some = batch.filter(pa.array(holds(packed, bits, batch.column("doc_id").to_numpy())))
-            nodes, found, counts = [], [], []
-            for s in shingle_sets(some.column("text"), width):
+            nodes, texts = [], []
+            for text, s in zip(some.column("text"), shingle_sets(some.column("text"), width), strict=True):
                 node = digests(s)[0]
                 if len(s) and node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    found.append(s.tobytes())
-                    counts.append(class_counts(s).astype(np.uint8).tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(found, pa.binary()), pa.array(counts, pa.binary())],
-                                  ["node", "shingles", "counts"])
+                    texts.append(zstandard.compress(text.as_py().encode("utf-8", "surrogatepass"), 3))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], ["node", "packed"])
     return run
 
 
+def unpacked(packed: list[bytes], width: int) -> list[np.ndarray]:
+    texts = pa.array([zstandard.decompress(x) for x in packed], pa.binary()).cast(pa.string())
+    return list(shingle_sets(texts, width))
+
+
 def _sorted_groups(df: DataFrame) -> DataFrame:
     return df.repartition("region", "pair").sortWithinPartitions("region", "pair")
 
 
 def regions(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """region, node, n_shingles: sets that can have a link, in the regions of their pivots."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(docs, width, num, den))
-    held = written(docs.select("text").mapInArrow(_prefixes(width, num, den, hot), "node long, token long"), "prefixes")
+    late = docs.sparkSession.sparkContext.broadcast(crowded(docs, width, num, den))
+    held = written(docs.select("text").mapInArrow(_prefixes(width, num, den, late), "node long, token long"), "prefixes")
     pivots = written(held.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                      .filter("low < high").select("token", F.col("low").alias("region")), "pivots")
     members = held.join(pivots, "token").select("region", "node").distinct()
@@ -328,8 +335,8 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, blo
     members = regions(docs, nodes, width, num, den)
     wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "rep"), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), wanted.count()))
-    sets = written(docs.select("doc_id", "text").mapInArrow(
-        _full_sets(width, shared), "node long, shingles binary, counts binary").join(wanted.select("node"), "node"), "sets")
+    texts = written(docs.select("doc_id", "text").mapInArrow(
+        _wanted_texts(width, shared), "node long, packed binary"), "texts")
     members = merged(members)
     found = []
     for level in range(depth):
@@ -338,19 +345,19 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, blo
         large = written(sizes.filter(F.col("n") > LARGE * block).select("region", F.col("first.node").alias("pivot")), "large")
         if large.isEmpty():
             break
-        pivots = written(large.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")),
+        pivots = written(large.join(texts.select(F.col("node").alias("pivot"), F.col("packed").alias("pivot_packed")),
                                     "pivot"), "region-pivots")
-        inside = members.join(pivots, "region").join(sets.select("node", "shingles"), "node")
-        rings = written(inside.mapInArrow(_rings(num, den), "region long, node long, n_shingles long, pivot long, "
+        inside = members.join(pivots, "region").join(texts, "node")
+        rings = written(inside.mapInArrow(_rings(width, num, den), "region long, node long, n_shingles long, pivot long, "
                                           "ring long, link boolean"), "rings")
         found.append(rings.filter("link AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         # Ring k meets itself and ring k + 1 in the new region k.
         divided = rings.withColumn("ring", F.explode(F.array(F.col("ring"), F.col("ring") - 1))).filter("ring >= 0").select(
             F.xxhash64(F.lit(level), "region", "ring").alias("region"), "node", "n_shingles")
         members = written(members.join(large, "region", "left_anti").unionAll(divided), "divided")
-    placed = blocked(members, block, "n_shingles", BLOCK_SHINGLES).join(sets, "node")
-    exact = _sorted_groups(placed).select("region", "pair", "side", "node", "n_shingles", "counts", "shingles")
-    found.append(exact.mapInArrow(_exact(num, den), "a long, b long"))
+    placed = blocked(members, block, "n_shingles", BLOCK_SHINGLES).join(texts, "node")
+    exact = _sorted_groups(placed).select("region", "pair", "side", "node", "n_shingles", "packed")
+    found.append(exact.mapInArrow(_exact(width, num, den), "a long, b long"))
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
