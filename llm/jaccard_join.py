@@ -31,9 +31,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bloom import build, holds
@@ -384,3 +385,29 @@ def jaccard_classes(docs: DataFrame, width: int, num: int, den: int, block: int
     lonely = sets.filter("n_shingles > 0 AND doc_id IS NULL").join(label, "node", "left_anti").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionAll(none).unionAll(lonely)
+
+
+def first_of_class(docs: DataFrame, width: int, num: int, den: int, carry: list[str]) -> DataFrame:
+    """The columns of `carry` of one document of each class, the one of the smallest doc_id.
+
+    Documents without words or without doc_id all stay; rows of one doc_id are one document, of which the
+    row with the smallest text stays. Only rows whose id may have to go move; the others stay in their task.
+    """
+    classes = written(jaccard_classes(docs.select("doc_id", "text"), width, num, den).filter("doc_id IS NOT NULL"),
+                      "classes")
+    going = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).filter(
+        "n > 1 OR c < doc_id").select(F.col("doc_id").cast("long"))
+    going = written(going, "going")
+    shared = docs.sparkSession.sparkContext.broadcast(build(going, going.count()))
+
+    @F.pandas_udf("boolean")
+    def may_go(ids: pd.Series) -> pd.Series:
+        packed, bits = shared.value
+        known = ids.notna()
+        return pd.Series(holds(np.frombuffer(packed, np.uint8), bits, ids.fillna(0).to_numpy(np.int64))) & known.reset_index(drop=True)
+
+    marked = docs.select(*carry, may_go(F.col("doc_id").cast("long")).alias("_may_go"))
+    stay = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    chosen = marked.filter("_may_go").join(stay, "doc_id").withColumn("_n", number).filter("_n = 1")
+    return marked.filter("NOT _may_go").select(*carry).unionAll(chosen.select(*carry))
