@@ -11,7 +11,7 @@ Queries are a stated set and are compared with all rows in blocks: queries and c
 are numbered into blocks of bounded size, and each task gets one block of either. Only each block's k best
 move on. Vectors that are null or hold null or non-finite components take no part, nor do vectors
 of another length than the query's. Ties go to the smaller id. Rows without id take no part; rows of
-one id are candidates of their own, and an id never answers itself.
+one id are candidates of their own, and an id never answers itself. Scores beyond 64 bits are given as the limit.
 """
 
 from __future__ import annotations
@@ -104,7 +104,8 @@ def _compare(k: int, levels):
         if len(queries) and len(rows):
             q_ids, c_ids = queries["key"].to_numpy(), rows["key"].to_numpy()
             a, b, s = block_best(q_ids, np.stack(queries["v"]), c_ids, np.stack(rows["v"]), k, levels)
-            out = {"query_id": q_ids[a], "key": c_ids[b], "score": s.astype(np.int64)}
+            whole = [min(max(x, -2 ** 63), 2 ** 63 - 1) for x in s] if s.dtype == object else s
+            out = {"query_id": q_ids[a], "key": c_ids[b], "score": np.array(whole, np.int64)}
         return pd.DataFrame(out)
     return run
 
@@ -116,14 +117,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, levels=LEVELS, query_bloc
     q_blocks, r_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_rows // row_block))
     row = F.monotonically_increasing_id()
     size = F.size("v").alias("size")
-    # Own names on either side: both may come from one table.
-    q = queries.select("key", "v", size, F.pmod(F.xxhash64("key", row), F.lit(q_blocks)).alias("q_block"),
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("r_block"))
-    q = q.toDF("key", "v", "q_size", "q_block", "q_rows")
-    r = rows.select("key", "v", size,
-                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q_block"),
-                    F.pmod(F.xxhash64("key", row), F.lit(r_blocks)).alias("r_block"))
-    r = r.toDF("key", "v", "r_size", "r_queries", "r_block")
+    # The block of a row is fixed before its copies are made. Own names on either side: both may come from one table.
+    every_r = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("q_rows")
+    every_q = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("r_queries")
+    q = queries.select("key", "v", size, F.pmod(F.xxhash64("key", row), F.lit(q_blocks)).alias("q_block"))
+    q = q.toDF("key", "v", "q_size", "q_block").select("*", every_r)
+    r = rows.select("key", "v", size, F.pmod(F.xxhash64("key", row), F.lit(r_blocks)).alias("r_block"))
+    r = r.toDF("key", "v", "r_size", "r_block").select("*", every_q)
     best = q.groupBy("q_size", "q_block", "q_rows").cogroup(r.groupBy("r_size", "r_queries", "r_block")).applyInPandas(
         _compare(k, levels), "query_id long, key long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
