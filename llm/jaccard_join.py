@@ -9,7 +9,7 @@ would separate nothing. Regions are therefore formed in two steps.
    them (the least digest); since priorities are global, most shingles of a group of copies choose the
    same pivot. A set is replicated to the regions of all its pivots.
 2. A set keeps its place in a region only if some other set there can reach the threshold, by sizes and by
-   the counts of shingles in 64 fixed classes: the L1 distance of the counts is never more
+   the counts of shingles in 512 fixed classes: the L1 distance of the counts is never more
    than the symmetric difference. Regions that still share a set then become one.
 3. Regions too large for one task are divided again around a pivot of their own: rings of the
    threshold's width by exact distance to it. By the triangle inequality linked sets lie in one ring or in
@@ -43,8 +43,8 @@ from llm.components import components
 from llm.sketch import cell, counts
 from llm.words import Words, mix, sequence_hash, slices
 
-CLASSES = 64
-FINE_CLASSES = 256
+CLASSES = 512
+FINE_CLASSES = 512
 CROWD = 64
 BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 2048, 4_000_000, 4, 2
 SLICE = 2 << 20

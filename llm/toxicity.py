@@ -16,6 +16,7 @@ kinds every score is 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,8 +192,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, clean: int = TRAIN_CLEAN, toxic: int = TRAIN_TOXIC,
-                  words: int = TRAIN_WORDS) -> list:
-    """The bounded sample, in an order that depends on nothing but the ids."""
+                  words: int = TRAIN_WORDS) -> DataFrame:
+    """The bounded sample, chosen by nothing but the ids: rank, lang, toxic, ids."""
     mark = F.xxhash64(F.lit(11), F.col("doc_id")).alias("rank")
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic"), mark).distinct()
@@ -204,7 +205,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, clean: int = TRAIN_CLEAN,
         _tokens, "rank long, lang string, toxic int, ids binary, words long"), "training")
     so_far = F.sum("words").over(Window.orderBy("rank", "ids").rowsBetween(Window.unboundedPreceding, 0))
     return cut.orderBy("rank").limit(clean + toxic).withColumn("so_far", so_far).filter(
-        F.col("so_far") <= words).orderBy("rank").collect()
+        F.col("so_far") <= words).select("rank", "lang", "toxic", "ids")
 
 
 def fit(rows: list) -> Model | None:
@@ -237,6 +238,12 @@ def fit(rows: list) -> Model | None:
     return model
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task trains on the sample, whose size is bounded; the driver only sees the model."""
+    rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["rank"], r["ids"], r["toxic"]))
+    yield pa.record_batch([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -252,7 +259,8 @@ def _score(shared):
 
 def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] = ("doc_id",), **sample: int) -> DataFrame:
     """The columns of `carry` and the score of every document."""
-    model = fit(training_rows(docs, labels, **sample))
+    trained = training_rows(docs, labels, **sample).repartition(1).mapInArrow(_fit, "model binary").collect()
+    model = pickle.loads(trained[0]["model"]) if trained else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*carry, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
