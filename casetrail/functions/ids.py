@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from casetrail.functions.text import normalise_phone
 
-# Id formats a search text is compared with, in this order.
+# Id formats a search text is compared with, in this order. Numbers grow beyond the usual width.
 ID_FORMATS = {
-    "account": r"^A\d{6}$",
-    "person": r"^P-\d{6}$",
+    "account": r"^A\d{6,}$",
+    "person": r"^P-\d{6,}$",
     "device": r"^D-[0-9a-f]{8}$",
-    "sanction": r"^S-\d{3}$",
+    "sanction": r"^S-\d{3,}$",
 }
+# Kinds of nodes and the form of their ids.
 NODE_KINDS = ["person", "account", "phone", "device", "sanction"]
 NODE_ID = r"^(person|account|phone|device|sanction):.+$"
 
@@ -47,10 +48,3 @@ def query_kind(text: Column) -> Column:
 
 def event_key(source: Column, record_id: Column) -> Column:
     return F.concat_ws(":", source, record_id)
-
-
-def arrival(offset: Column, partition: Column | None = None) -> Column:
-    """One ordered number per message of a source: offset first, then partition (up to 4096)."""
-    if partition is None:
-        return offset.cast("bigint")
-    return F.shiftleft(offset.cast("bigint"), 12) + partition.cast("bigint")

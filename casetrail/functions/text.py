@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 # Titles that are not part of a name.
 HONORIFICS = ["mr", "mrs", "ms", "miss", "dr", "prof", "mama", "baba", "rev"]
 
-# Evidence ids (account opening, transfer, login, sanctions entry, note), account ids.
-EVIDENCE_ID = r"\b(KYC-\d{6}|T\d{7}|L\d{7}|S-\d{3}|N-\d{5})\b"
-ACCOUNT_ID = r"\bA\d{6}\b"
+# Evidence ids (account opening, transfer, login, sanctions entry, note), account ids;
+# the digits shown are the least.
+EVIDENCE_ID = r"\b(KYC-\d{6,}|T\d{7,}|L\d{7,}|S-\d{3,}|N-\d{5,})\b"
+ACCOUNT_ID = r"\bA\d{6,}\b"
 
 
 @lru_cache(maxsize=1)

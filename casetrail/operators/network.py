@@ -124,6 +124,6 @@ def network(links: DataFrame, centers: DataFrame, accounts: DataFrame, persons:
 def network_of(links: DataFrame, center: str, accounts: DataFrame, persons: DataFrame, **limits) -> DataFrame:
     """The single-center question; no row means the node has no links."""
     if not re.match(NODE_ID, center):
-        raise ValueError("a center must look like 'account:A000123' or 'person:P-000042'")
+        raise ValueError("not a node id: write kind:id, as in device:D-00ff00ff")
     one = links.sparkSession.createDataFrame([(center,)], "center string")
     return network(links, one, accounts, persons, **limits)

@@ -19,19 +19,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.functions.vectors import DIM, bucket_and_sign, features
-from casetrail.session import spread
 
 Embedder = Callable[[list[str], str], list[list[float]]]
 MAX_K = 20
-MAX_QUERIES = 64
+QUERY_BLOCK, VECTOR_BLOCK = 64, 16384
 _CYCLE = 2 ** 15 * 3 * 5 * 7   # every usual vector length divides it
 
 
 @lru_cache(maxsize=1 << 18)
 def _word_places(word: str) -> np.ndarray:
     """MD5 numbers of a word and its 4-grams as rows (number modulo 2^15 * 3 * 5 * 7, sign bit)."""
-    grams = [word, *(word[i:i + 4] for i in range(max(1, len(word) - 3)))]
-    numbers = [int.from_bytes(hashlib.md5(g.encode()).digest(), "big") for g in grams]
+    pieces = [word, word[:4]]
+    while len(pieces) < len(word) - 2:   # the window of four letters moves on by one
+        pieces.append(word[len(pieces) - 1:len(pieces) + 3])
+    numbers = [int.from_bytes(hashlib.md5(piece.encode()).digest(), "big") for piece in pieces]
     return np.array([(n % _CYCLE, n >> 64 & 1) for n in numbers], dtype=np.int64).reshape(-1, 2)
 
 
@@ -51,8 +52,12 @@ def hash_vectors(texts: list[str], kind: str = "document", dim: int = DIM) -> li
     return out
 
 
-def embed(notes: DataFrame, embedder: Embedder = hash_vectors, text: str = "text", batch: int = 32) -> DataFrame:
-    """Adds `embedding`; the embedder is called with `batch` texts at a time."""
+def embed(notes: DataFrame, embedder: Embedder = hash_vectors, text: str = "text", batch: int = 32,
+          partitions: int | None = None) -> DataFrame:
+    """Adds `embedding`; the embedder is called with `batch` texts at a time.
+
+    `partitions` deals the texts out first, for inputs of few files.
+    """
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
@@ -63,7 +68,8 @@ def embed(notes: DataFrame, embedder: Embedder = hash_vectors, text: str = "text
 
     # Marked so that no filter on the result makes the optimizer compute it a second time.
     vectors = vectors.asNondeterministic()
-    return spread(notes).withColumn("embedding", vectors(F.coalesce(F.col(text), F.lit(""))))
+    dealt = notes.repartition(partitions) if partitions else notes
+    return dealt.withColumn("embedding", vectors(F.coalesce(F.col(text), F.lit(""))))
 
 
 def pending(notes: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -77,54 +83,69 @@ def embed_pending(notes: DataFrame, embedded: DataFrame, embedder: Embedder = ha
 
 
 def sparse_hash(notes: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """The unscaled hashed vector as (key, bucket, value) rows, by built-in functions only."""
+    """The unscaled hashed vector as (key, bucket, value) rows, by built-in functions only.
+
+    Texts are dealt out by key, so the many features of a text are summed up where they arise.
+    """
     place, sign = bucket_and_sign(F.col("feature"), dim)
-    rows = spread(notes.select(key, text)).select(key, F.explode(features(F.col(text))).alias("feature"))
+    rows = notes.select(key, text).repartition(F.col(key)).select(key, F.explode(features(F.col(text))).alias("feature"))
     return (rows.select(key, place.alias("bucket"), sign.alias("sign"))
             .groupBy(key, "bucket").agg(F.sum("sign").alias("value")).filter("value <> 0"))
 
 
-def nearest(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int, key: str,
-            embedding: str = "embedding") -> DataFrame:
+def _closest(batch: pa.RecordBatch, asked: list[tuple[str, np.ndarray]], k: int) -> tuple[list, list, list]:
+    """(queries, keys, distances) of a batch's k closest rows, ties at the k-th included."""
+    batch = batch.filter(batch.column(1).is_valid())
+    found: tuple[list, list, list] = ([], [], [])
+    if batch.num_rows == 0:
+        return found
+    rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    norms = np.sqrt((rows * rows).sum(axis=1))
+    for name, query in asked:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            away = 1 - (rows * query).sum(axis=1) / (norms * np.sqrt((query * query).sum()))
+        away = np.round(away, 9) + 0.0   # no negative zero
+        limit = np.partition(away, k - 1)[k - 1] if len(away) > k else np.inf
+        chosen = np.flatnonzero((away <= limit) | np.isnan(away))
+        found[0].extend([name] * len(chosen))
+        found[1].extend(batch.column(0).take(pa.array(chosen)).to_pylist())
+        found[2].extend(away[chosen].tolist())
+    return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding: str = "embedding") -> DataFrame:
     """(query, key, distance, rank): the k rows closest by cosine distance to each query, exactly.
 
-    The queries travel with the task; every Arrow batch is compared at once and hands on only its
-    own k best, so the ranking sorts a few rows per batch. Ties go to the smaller key.
+    `queries` has `query` (string) and `vector`, any number of rows: they are dealt into blocks of
+    QUERY_BLOCK, the vectors into blocks of VECTOR_BLOCK, and a task compares one block of either. Each pair of
+    blocks hands on only its own k best. Ties go to the smaller key.
     """
     if not 1 <= k:
         raise ValueError("k must be positive")
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
-    names = [name for name, _ in queries]
-    asked = [np.asarray(v, dtype=np.float64) for _, v in queries]
-    lengths = [float(np.sqrt((q * q).sum())) for q in asked]
-    key_type = vectors.schema[key].dataType.simpleString()
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(batch.num_rows, -1)
-            norms = np.sqrt((rows * rows).sum(axis=1))
-            found = {"query": [], key: [], "distance": []}
-            for name, query, length in zip(names, asked, lengths):
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    away = 1 - (rows * query).sum(axis=1) / (norms * length)
-                away = np.round(away, 9) + 0.0   # no negative zero
-                # Everything up to the k-th distance is kept, so no tie is cut here.
-                limit = np.partition(away, k - 1)[k - 1] if len(away) > k else np.inf
-                chosen = np.flatnonzero((away <= limit) | np.isnan(away))
-                found["query"] += [name] * len(chosen)
-                found[key] += ids.take(pa.array(chosen)).to_pylist()
-                found["distance"] += away[chosen].tolist()
-            yield pa.RecordBatch.from_pydict(found, schema=pa.schema(
-                [("query", pa.string()), (key, ids.type), ("distance", pa.float64())]))
-
-    near = vectors.select(key, embedding).mapInArrow(
-        best, f"query string, {key} {key_type}, distance double")
+    kind = vectors.schema[key].dataType.simpleString()
+    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    asked = queries.select("query", "vector", F.pmod(F.xxhash64("query"), F.lit(q_blocks)).alias("q"))
+    asked = asked.select("*", every(v_blocks).alias("v"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("row"),
+                          F.pmod(F.xxhash64(key), F.lit(v_blocks)).alias("rv"))
+    rows = rows.select("*", every(q_blocks).alias("rq"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        named = [(r["query"], np.asarray(r["vector"], dtype=np.float64)) for r in left.to_pylist()]
+        found: tuple[list, list, list] = ([], [], [])
+        for batch in right.select(["key", "row"]).to_batches():
+            for have, more in zip(found, _closest(batch, named, k)):
+                have.extend(more)
+        return pa.table({"query": pa.array(found[0], pa.string()), key: pa.array(found[1], right.schema.field("key").type),
+                         "distance": pa.array(found[2], pa.float64())})
+
+    near = asked.groupBy("q", "v").cogroup(rows.groupBy("rq", "rv")).applyInArrow(
+        compare, f"query string, {key} {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -136,10 +157,11 @@ def search_notes(notes: DataFrame, text: str, k: int = 5, account_id: str | None
         raise ValueError("a note question has 3 to 500 characters")
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
-    if account_id is not None and not re.fullmatch(r"A\d{6}", account_id):
-        raise ValueError("account_id must look like A000123")
+    if account_id is not None and not re.fullmatch(r"A\d{6,}", account_id):
+        raise ValueError("not an account number: A and six digits or more")
     some = notes if account_id is None else notes.filter(F.col("account_id") == account_id)
     question = np.round(np.asarray(embedder([text], "query")[0], dtype=np.float64), 6).astype(np.float32)
-    near = nearest(some, [(text, question.tolist())], k, "note_id")
+    asked = notes.sparkSession.createDataFrame([(text, question.tolist())], "query string, vector array<float>")
+    near = nearest(some, asked, k, "note_id")
     return near.join(some, "note_id").select(
         "note_id", "account_id", "created_at", "text", F.round("distance", 4).alias("distance"), "rank")

@@ -14,7 +14,7 @@ from casetrail.operators.reconcile import distinct_dead_letters
 from casetrail.operators.validate import dead_letters, validate
 from casetrail.plans.registry import question
 from casetrail.plans.views_sql import grams, name_norm, pad, phone_norm, sim
-from casetrail.session import cut, spread
+from casetrail.session import cut
 from casetrail.sources import tables
 from casetrail.sources.store import without_prefix
 from casetrail.sources.topics import source_of_topic
@@ -137,7 +137,7 @@ def validate_outcome_counts(spark, folder):
     bounds = {**BOUNDS, "now": datetime(2024, 3, 1), "earliest": datetime(1996, 1, 1)}
     judged = judge(messages, sources=["transactions"], **BOUNDS).drop("transactions").unionByName(
         judge(messages, sources=["logins"], **bounds).drop("logins"))
-    judged = cut(judged.select("source", "offset", "partition", "event_key", "verdict"))
+    judged = cut(judged.select("source", "offset", "partition", "row", "event_key", "verdict"))
     fresh, refused = split_outcomes(judged, spark.createDataFrame([], "event_key string"))
     return outcome_table(judged, fresh, refused)
 
@@ -192,7 +192,7 @@ def phone_normalise(spark, folder):
 @question(f"SELECT doc_id, {name_norm('text')} AS name_norm FROM documents", views=False)
 def name_normalise(spark, folder):
     """The name rule over whole document texts: accents, punctuation, titles in four languages."""
-    return spread(tables.table(spark, folder, "documents").select("doc_id", "text")).select(
+    return tables.table(spark, folder, "documents").select("doc_id", "text").repartition(F.col("doc_id")).select(
         "doc_id", normalise_name(F.col("text")).alias("name_norm"))
 
 

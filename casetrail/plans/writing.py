@@ -72,7 +72,7 @@ SELECT note_id, account_id, round(distance, 4) AS distance,
 FROM away JOIN notes USING (note_id) QUALIFY rank <= {K}""")
 def note_knn(spark, folder):
     """The notes closest to a question, over all whole texts."""
-    with_vectors = notes.embed(tables.notes(spark, folder))
+    with_vectors = notes.embed(tables.notes(spark, folder), partitions=spark.sparkContext.defaultParallelism)
     return notes.search_notes(with_vectors, QUESTION, K).select(
         "note_id", "account_id", "distance", F.col("rank").cast("bigint").alias("rank"))
 
@@ -91,7 +91,7 @@ def vector_knn(spark, folder):
     """For the first vector of every label: its nearest vectors."""
     vectors = tables.table(spark, folder, "embeddings")
     first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
-    asked = [(str(r["label"]), list(r["e"])) for r in first.limit(notes.MAX_QUERIES + 1).collect()]
+    asked = first.select(F.col("label").cast("string").alias("query"), F.col("e").alias("vector"))
     near = notes.nearest(vectors, asked, K, "vec_id")
     return near.select("query", "vec_id", F.round("distance", 4).alias("distance"),
                        F.col("rank").cast("bigint").alias("rank"))

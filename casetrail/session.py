@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,29 +62,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+_folders: list[str] = []   # of the open `stages` scopes, innermost last
 
-def _bytes(text: str) -> int:
-    """A size setting such as 134217728b, 128m or 1GB."""
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
-    return int(number) << 10 * " kmgtp".index(unit or " ")
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and go on from the written copy.
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input over all cores before costly per-row work.
-
-    A large input already has more splits than cores and is left alone: the plan's size estimate is
-    compared with one full file split per core. Small files with a single row group would
-    otherwise keep one core busy and the others idle.
+    The rows are computed once, and the copy has size statistics. Inside `stages` the copy lasts as long as the scope.
     """
-    if df.isStreaming:
-        return df
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < split * cores else df
+    path = f"{_folders[-1]}/{uuid.uuid4().hex}" if _folders else scratch(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stages(spark: SparkSession):
+    """Copies written by `cut` inside are removed at the end: for work whose results were stored, as a micro-batch's."""
+    path = scratch(spark, "stages")
+    _folders.append(path)
+    try:
+        yield
+    finally:
+        _folders.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -82,7 +82,8 @@ def test_nearest_is_exact(spark):
     rows = rng.normal(size=(300, 8)).astype(np.float32)
     asked = [("a", rows[3].tolist()), ("b", rng.normal(size=8).tolist())]
     df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(rows)], "n bigint, embedding array<float>").repartition(5)
-    got = {(r.query, r["rank"]): r.n for r in notes.nearest(df, asked, 7, "n").collect()}
+    got = {(r.query, r["rank"]): r.n for r in notes.nearest(
+        df, spark.createDataFrame(asked, "query string, vector array<double>"), 7, "n").collect()}
     for name, q in asked:
         q = np.array(q)
         away = 1 - rows.astype(float) @ q / np.linalg.norm(rows.astype(float), axis=1) / np.linalg.norm(q)
