@@ -10,7 +10,7 @@ from compare import compare, connect
 from casetrail.plans import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"stream_ingest_links", "stream_ingest_outcomes", "resolve_rule_counts"}
+SLOW = {"stream_ingest_links", "stream_ingest_outcomes", "stream_stored_evidence", "resolve_rule_counts"}
 
 
 @pytest.fixture(scope="module")
