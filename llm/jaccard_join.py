@@ -47,7 +47,7 @@ CLASSES = 512
 FINE_CLASSES = 512
 CROWD = 64
 BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 2048, 4_000_000, 4, 2
-SLICE = 2 << 20
+SLICE = 1 << 20
 OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -95,7 +95,7 @@ def _sets(width: int):
 
 def prefix(found: np.ndarray, want: int, late: np.ndarray | None) -> np.ndarray:
     """The first `want` shingles by hash, those of crowded cells at the end, the fullest cell last."""
-    first = found[:want]
+    first = found[:want].copy()  # a view would keep the whole set in memory
     if late is None or not late[cell(first)].any():
         return first
     rank = late[cell(found)]
@@ -105,7 +105,8 @@ def prefix(found: np.ndarray, want: int, late: np.ndarray | None) -> np.ndarray:
 
 def _prefix_tokens(width: int, num: int, den: int):
     def run(batch: pa.RecordBatch) -> np.ndarray:
-        out = [s[:prefix_length(len(s), num, den)] for s in shingle_sets(batch.column("text"), width)]
+        # Copies: a view would keep its whole set in memory.
+        out = [s[:prefix_length(len(s), num, den)].copy() for s in shingle_sets(batch.column("text"), width)]
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
     return run
 

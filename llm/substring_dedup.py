@@ -32,7 +32,7 @@ from llm.words import BASE, Words, mix, sequence_hash, slices
 
 WINDOW, MINIMIZER = 35, 8
 OTHER = np.uint64(0xD6E8FEB86659FD93)
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _leftmost_least(values: np.ndarray, length: int) -> np.ndarray:
