@@ -46,7 +46,7 @@ from llm.words import Words, mix, sequence_hash, slices
 CLASSES = 512
 FINE_CLASSES = 512
 CROWD = 64
-BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 2048, 4_000_000, 4, 2
+BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 1024, 1_000_000, 8, 2
 SLICE = 1 << 20
 OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -229,11 +229,14 @@ def _exact(width: int, num: int, den: int):
         for table in _chunks(batches, 1000):
             bounds = _groups(table)
             size, side, node = (table[c].to_numpy() for c in ("n_shingles", "side", "node"))
-            sets = unpacked(table["packed"].to_pylist(), width)
-            counts = np.stack([class_counts(s, FINE_CLASSES) for s in sets])
             left, right = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                i, j, apart = near_pairs(counts[a:b], size[a:b], side[a:b], num, den)
+                if b - a < 2:
+                    continue
+                # One group's sets at a time: at most those of two blocks.
+                sets = unpacked(table["packed"].slice(a, b - a).to_pylist(), width)
+                counts = np.stack([class_counts(s, FINE_CLASSES) for s in sets])
+                i, j, apart = near_pairs(counts, size[a:b], side[a:b], num, den)
                 parent = list(range(b - a))
 
                 def root(x, parent=parent):
@@ -244,7 +247,7 @@ def _exact(width: int, num: int, den: int):
                 order = np.argsort(apart, kind="stable")
                 for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
                     rx, ry = root(x), root(y)
-                    if rx != ry and linked(sets[a + x], sets[a + y], num, den):
+                    if rx != ry and linked(sets[x], sets[y], num, den):
                         parent[max(rx, ry)] = min(rx, ry)
                         left.append(node[a + x])
                         right.append(node[a + y])
@@ -272,8 +275,8 @@ def _rings(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ring, link = [], []
-            both = [unpacked(batch.column(c).to_pylist(), width) for c in ("packed", "pivot_packed")]
-            for x, y in zip(*both, strict=True):
+            for k in range(batch.num_rows):
+                x, y = unpacked([batch.column(c)[k].as_py() for c in ("packed", "pivot_packed")], width)
                 shared = common(x, y)
                 union = len(x) + len(y) - shared
                 # floor(distance / (1 - t)) in whole numbers
