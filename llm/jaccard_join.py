@@ -182,12 +182,14 @@ def _groups(table: pa.Table) -> np.ndarray:
     return np.concatenate([[0], new, [table.num_rows]])
 
 
-def near_pairs(counts: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple:
-    """Pairs (i, j, L1 distance) that can reach the threshold. Side 2 meets itself, side 0 meets side 1."""
+def near_rows(counts: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int) -> Iterator[tuple]:
+    """For each row i the rows that can reach the threshold with it, each pair once, nearest first by the L1 distance.
+
+    Side 2 meets itself, side 0 meets side 1. One row's partners at a time: a group's pairs are never held.
+    """
     order = np.argsort(size, kind="stable")
     counts, size, side = counts[order].astype(np.int16), size[order], side[order]
     ends = np.searchsorted(size, size * den // num, side="right")
-    out = []
     for i in range(len(size)):
         others = np.arange(i + 1, ends[i])
         if side[i] != 2:
@@ -195,12 +197,9 @@ def near_pairs(counts: np.ndarray, size: np.ndarray, side: np.ndarray, num: int,
         if not len(others):
             continue
         apart = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
-        ok = apart * (den + num) <= (den - num) * (size[others] + size[i])
-        if ok.any():
-            out.append((np.full(int(ok.sum()), order[i]), order[others[ok]], apart[ok]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        ok = np.flatnonzero(apart * (den + num) <= (den - num) * (size[others] + size[i]))
+        if len(ok):
+            yield order[i], order[others[ok[np.argsort(apart[ok], kind="stable")]]]
 
 
 def _counts_of(table: pa.Table) -> np.ndarray:
@@ -216,8 +215,8 @@ def _near(num: int, den: int):
             keep = np.zeros(table.num_rows, bool)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    i, j, _ = near_pairs(counts[a:b], size[a:b], side[a:b], num, den)
-                    keep[a + i] = keep[a + j] = True
+                    for i, others in near_rows(counts[a:b], size[a:b], side[a:b], num, den):
+                        keep[a + i] = keep[a + others] = True
             some = table.filter(pa.array(keep)).select(["region", "node", "n_shingles"])
             yield from some.combine_chunks().to_batches()
     return run
@@ -236,21 +235,16 @@ def _exact(width: int, num: int, den: int):
                 # One group's sets at a time: at most those of two blocks.
                 sets = unpacked(table["packed"].slice(a, b - a).to_pylist(), width)
                 counts = np.stack([class_counts(s, FINE_CLASSES) for s in sets])
-                i, j, apart = near_pairs(counts, size[a:b], side[a:b], num, den)
-                parent = list(range(b - a))
-
-                def root(x, parent=parent):
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-                order = np.argsort(apart, kind="stable")
-                for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                    rx, ry = root(x), root(y)
-                    if rx != ry and linked(sets[x], sets[y], num, den):
-                        parent[max(rx, ry)] = min(rx, ry)
-                        left.append(node[a + x])
-                        right.append(node[a + y])
+                part = np.arange(b - a)  # the connected part of each set so far
+                for i, others in near_rows(counts, size[a:b], side[a:b], num, den):
+                    others = others[part[others] != part[i]]
+                    while len(others):
+                        j, others = others[0], others[1:]
+                        if linked(sets[i], sets[j], num, den):
+                            left.append(node[a + i])
+                            right.append(node[a + j])
+                            part[part == part[j]] = part[i]
+                            others = others[part[others] != part[i]]
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
     return run
 
