@@ -1,4 +1,4 @@
-"""Small helpers: tables, ASCII lower case, written intermediate tables, plain numbered buckets."""
+"""Small helpers: tables, ASCII lower case, written intermediate tables."""
 
 from __future__ import annotations
 
@@ -30,8 +30,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(df: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -39,12 +39,13 @@ def recipes(docs: DataFrame, pattern: str | None = None, bits: int = 64) -> Data
     hash is not unique, by place). Equal recipes mean equal texts. Fewer `bits` force shared hashes."""
     pattern = pattern or chunk_pattern()
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    rows = docs.select("doc_id", text.alias("text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     plain = written(rows.select(
-        "doc_id", "row", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        "doc_id", digest,
         F.transform(chunks_of(F.col("text"), pattern), lambda c: chunk_hash(c, bits)).alias("ids")), "recipes")
-    pieces = rows.select("row", F.posexplode(chunks_of(F.col("text"), pattern)).alias("at", "chunk"))
-    pieces = pieces.select("row", "at", "chunk", chunk_hash(F.col("chunk"), bits).alias("hash"))
+    pieces = rows.select(digest, F.posexplode(chunks_of(F.col("text"), pattern)).alias("at", "chunk"))
+    pieces = pieces.select("text_sha256", "at", "chunk", chunk_hash(F.col("chunk"), bits).alias("hash"))
     # The one movement of chunk texts: equal chunks meet (after map-side merging), then only counts move.
     dictionary = pieces.select("hash", "chunk").distinct()
     shared = written(dictionary.groupBy("hash").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared")
@@ -54,9 +55,10 @@ def recipes(docs: DataFrame, pattern: str | None = None, bits: int = 64) -> Data
     unclear = pieces.join(shared, "hash", "left_semi")
     numbered = unclear.select("hash", "chunk").distinct().withColumn(
         "number", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")))
-    extra = unclear.join(numbered, ["hash", "chunk"]).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("at", "number"))).alias("extra"))
-    return plain.join(extra, "row", "left").select(
+    # Equal texts have equal numbers, so the digest may stand for the row.
+    extra = written(unclear.join(numbered, ["hash", "chunk"]).groupBy("text_sha256").agg(
+        F.array_sort(F.collect_set(F.struct("at", "number"))).alias("extra")), "extra")
+    return plain.join(extra, "text_sha256", "left").select(
         "doc_id", "text_sha256", "ids", F.coalesce("extra", none).alias("extra"))
 
 
