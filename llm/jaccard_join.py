@@ -10,7 +10,8 @@ would separate nothing. Regions are therefore formed in two steps.
    same pivot. A set is replicated to the regions of all its pivots.
 2. A set keeps its place in a region only if some other set there can reach the threshold, by sizes and by
    the counts of shingles in 512 fixed classes: the L1 distance of the counts is never more
-   than the symmetric difference. Regions that still share a set then become one.
+   than the symmetric difference. Regions fall apart into the parts that hang together by this test, and parts
+   that share a set become one region.
 3. Regions too large for one task are divided again around a pivot of their own: rings of the
    threshold's width by exact distance to it. By the triangle inequality linked sets lie in one ring or in
    neighbouring rings, so each ring is joined with the next one. This is repeated to a fixed depth; what is
@@ -207,18 +208,24 @@ def _counts_of(table: pa.Table) -> np.ndarray:
 
 
 def _near(num: int, den: int):
-    """Members that another member of the region can reach."""
+    """Members that another member can reach; their new region is the part of the region that hangs together so."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches):
             counts, bounds = _counts_of(table), _groups(table)
-            size, side = table["n_shingles"].to_numpy(), table["side"].to_numpy()
-            keep = np.zeros(table.num_rows, bool)
+            size, side, node = (table[c].to_numpy() for c in ("n_shingles", "side", "node"))
+            part, keep = np.arange(table.num_rows), np.zeros(table.num_rows, bool)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    for i, others in near_rows(counts[a:b], size[a:b], side[a:b], num, den):
-                        keep[a + i] = keep[a + others] = True
-            some = table.filter(pa.array(keep)).select(["region", "node", "n_shingles"])
-            yield from some.combine_chunks().to_batches()
+                if b - a < 2:
+                    continue
+                mine = part[a:b]
+                for i, others in near_rows(counts[a:b], size[a:b], side[a:b], num, den):
+                    keep[a + i] = keep[a + others] = True
+                    apart = np.unique(mine[others[mine[others] != mine[i]]])
+                    if len(apart):
+                        mine[np.isin(mine, apart)] = mine[i]
+            at = np.flatnonzero(keep)
+            yield pa.record_batch([pa.array(node[part[at]]), pa.array(node[at]), pa.array(size[at])],
+                                  ["region", "node", "n_shingles"])
     return run
 
 
