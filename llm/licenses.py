@@ -4,7 +4,8 @@ A block is a line with a cue word of license texts; lines far longer than any te
 windows that hold any notice whole. Each block is compressed alone and with every template as a raw
 zstandard dictionary; the template that saves most bytes wins. A win is confirmed by exact wording: words
 of block and template are aligned, and the words missing, added or replaced between the first and last
-common word must be at most `allowed` of the template's.
+common word must be at most `allowed` of the template's. What is left of the block before and after
+a notice is ranked again, until no template is confirmed.
 
 Documents without a cue never leave the JVM filter; the others are worked on row by row in tasks, nothing
 shuffles. Null and empty texts give no rows; repeated rows give repeated results; of equal savings
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,6 +70,7 @@ class Scanner:
             text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in self.templates.items()}
         self.words = {name: [w.lower() for w in WORD.findall(text)] for name, text in self.templates.items()}
         self.longest = max(map(len, templates.values()))
+        self.cue = re.compile(CUE)
 
     def savings(self, block: str) -> list[tuple[int, str]]:
         """(bytes saved, template), best first."""
@@ -76,36 +79,82 @@ class Scanner:
         return sorted(((alone - len(c.compress(data)), name) for name, c in self.with_template.items()),
                       key=lambda x: (-x[0], x[1]))
 
-    def wording(self, block: str, name: str) -> tuple[int, int, list[str], list[str]] | None:
-        """Start, end, words missing and words added of the best alignment."""
+    def wording(self, block: str, name: str, allowed: float) -> tuple[int, int, list[str], list[str]] | None:
+        """Start, end, words missing and words added of a confirmed alignment.
+
+        With d differences some run of the template's words is whole and at least (n - d) / (d + 1) long.
+        The longest common run is taken first; if no notice stands around it, one may stand beside it.
+        """
         found = list(WORD.finditer(block))
         words, want = [m[0].lower() for m in found], self.words[name]
+        most = int(allowed * len(want))
+        least = max(1, -(-(len(want) - most) // (most + 1)))
+        match = difflib.SequenceMatcher(None, want, words, autojunk=False)
+        parts = [(0, len(words))]
+        while parts:
+            lo, hi = parts.pop()
+            run = match.find_longest_match(0, len(want), lo, hi)
+            if run.size < least:
+                continue
+            begin, end = max(lo, run.b - run.a - most), min(hi, run.b + len(want) - run.a + most)
+            first, last, missing, added = self.aligned(want, words[begin:end])
+            if len(missing) + len(added) <= allowed * len(want):
+                return found[begin + first].start(), found[begin + last].end(), missing, added
+            parts += [(run.b + run.size, hi), (lo, run.b)]
+        return None
+
+    @staticmethod
+    def aligned(want: list[str], words: list[str]) -> tuple[int, int, list[str], list[str]]:
+        """First and last word, words missing and added; matches far out that cost more than they give are left."""
         same = [m for m in difflib.SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return None
-        first, last = same[0], same[-1]
-        missing = want[:first.a] + want[last.a + last.size:]
-        added: list[str] = []
-        for x, y in zip(same, same[1:], strict=False):
+        top = max(range(len(same)), key=lambda i: same[i].size)
+
+        def outward(order: list[int]) -> int:
+            best, gain, least = order[0], 0, 0
+            for i, j in zip(order, order[1:], strict=False):
+                x, y = same[min(i, j)], same[max(i, j)]
+                gain += y.b - x.b - x.size - same[j].size
+                if gain < least:
+                    best, least = j, gain
+            return best
+        i, j = outward(list(range(top, -1, -1))), outward(list(range(top, len(same))))
+        first, last = same[i], same[j]
+        missing, added = want[:first.a], []
+        for x, y in zip(same[i:j], same[i + 1:j + 1], strict=True):
             missing += want[x.a + x.size:y.a]
             added += words[x.b + x.size:y.b]
-        return found[first.b].start(), found[last.b + last.size - 1].end(), missing, added
+        return first.b, last.b + last.size - 1, missing + want[last.a + last.size:], added
+
+    def notices(self, block: str, allowed: float) -> Iterator[tuple]:
+        """Start, end, template, bytes saved on the notice itself, words missing and added, of every notice.
+
+        What stands before and after a notice is ranked again.
+        """
+        parts = [(0, len(block))]
+        while parts:
+            lo, hi = parts.pop()
+            part = block[lo:hi]
+            if not self.cue.search(part):
+                continue
+            for _, name in self.savings(part):
+                aligned = self.wording(part, name, allowed)
+                if aligned:
+                    start, end, missing, added = aligned
+                    yield lo + start, lo + end, name, dict((n, x) for x, n in self.savings(part[start:end]))[name], missing, added
+                    parts += [(lo + end, hi), (lo, lo + start)]
+                    break
 
     def scan(self, text: str, allowed: float) -> Iterator[tuple]:
-        past = -1
-        for at, block in blocks(text, self.longest):
-            for saved, name in self.savings(block):
-                if saved <= 0:
-                    break
-                aligned = self.wording(block, name)
-                if not aligned:
-                    continue
-                start, end, missing, added = aligned
-                if len(missing) + len(added) <= allowed * len(self.words[name]):
-                    if at + start >= past:  # the next window sees the same notice again
-                        yield at + start, at + end, name, saved, missing, added
-                        past = at + end
-                    break
+        """Overlapping windows see a notice twice, or a part of it: of overlapping spans the one with most of its template stays."""
+        found = {(at + hit[0], at + hit[1], *hit[2:4], tuple(hit[4]), tuple(hit[5]))
+                 for at, block in blocks(text, self.longest) for hit in self.notices(block, allowed)}
+        kept: list[tuple] = []
+        for hit in sorted(found, key=lambda h: (len(h[4]) + len(h[5]) - len(self.words[h[2]]), h)):
+            k = bisect_right(kept, hit[0], key=lambda h: h[0])
+            if (not k or kept[k - 1][1] <= hit[0]) and (k == len(kept) or hit[1] <= kept[k][0]):
+                kept.insert(k, hit)
+        for start, end, name, saved, missing, added in kept:
+            yield start, end, name, saved, list(missing), list(added)
 
 
 def license_notices(docs: DataFrame, templates: dict[str, str] | None = None, allowed: float = ALLOWED) -> DataFrame:

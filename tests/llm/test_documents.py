@@ -211,6 +211,15 @@ def test_notices(spark):
     assert (0, "mit", "Released under the MIT License", (), ()) in got
 
 
+@pytest.mark.parametrize("between", [" ", " and some words more ", " pad" * 400 + " "])
+def test_several_notices_on_a_line(spark, between):
+    t = licenses.TEMPLATES
+    names = ["mit", "cc-by-4.0", "mit", "gpl-3.0", "apache-2.0-notice", "mit-notice", "mit-notice", "mit"]
+    docs = spark.createDataFrame([(1, between.join(t[n] for n in names))], "doc_id long, text string")
+    got = sorted(licenses.license_notices(docs).collect(), key=lambda r: r.start)
+    assert [r.license for r in got] == names and not [r for r in got if r.missing or r.added]
+
+
 # Packing
 
 def test_packing(docs, rows):
