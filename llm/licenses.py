@@ -1,11 +1,13 @@
 """License notices, ranked by how much a template helps to compress a block.
 
-A block is a line with a cue word of license texts; lines far longer than any template are cut into overlapping
-windows that hold any notice whole. Each block is compressed alone and with every template as a raw
-zstandard dictionary; the template that saves most bytes wins. A win is confirmed by exact wording: words
-of block and template are aligned, and the words missing, added or replaced between the first and last
-common word must be at most `allowed` of the template's. What is left of the block before and after
-a notice is ranked again, until no template is confirmed.
+A text is read across its line breaks: what stands before the first word of a line (comment markers) and
+markers at its end are passed over, runs of blanks count as one. Blocks are the surroundings of cue words of
+license texts, twice the longest template to either side; long ones are cut into overlapping windows that hold any
+notice whole. Each block is compressed alone and with every template as a raw zstandard dictionary; the
+template that saves most bytes wins. A win is confirmed by exact wording: words of block and template are
+aligned around their longest common run, and the words missing, added or replaced must be at most `allowed` of the
+template's. What is left of the block before and after a notice is ranked again, until no template is confirmed.
+Places are those of the original text.
 
 Documents without a cue never leave the JVM filter; the others are worked on row by row in tasks, nothing
 shuffles. Null and empty texts give no rows; repeated rows give repeated results; of equal savings
@@ -43,23 +45,53 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         'associated documentation files (the "Software"), to deal in the Software without restriction'),
 }
-CUE = r"(?i)licen[cs]e|copyright|permission is|redistribut"
+CUE = r"(?i)licen[cs]e|copyright|permission|redistribut"
 LEVEL = 3
 ALLOWED = 0.2
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
+LINE = re.compile(r"[^\n\r\v\f\x1c-\x1e\x85\u2028\u2029]+")
+# Before the first word of a line nothing is read, nor a comment marker that is a word.
+LEAD = re.compile(r"(?i)(?:[\W_]++|(?:dnl|rem)(?=\s))*+")
+PIECE = re.compile(r"\S++(?:\s\S++)*+")
+
+
+class Flat:
+    """A text on one line, and the place in the original of every place in it."""
+
+    def __init__(self, text: str):
+        pieces, self.there, self.here, at = [], [], [], 0
+        for line in LINE.finditer(text):
+            begin = LEAD.match(text, line.start(), line.end()).end()
+            end = begin + len(text[begin:line.end()].rstrip(" \t*#/|"))
+            for piece in PIECE.finditer(text, begin, end):
+                pieces.append(piece[0])
+                self.there.append(piece.start())
+                self.here.append(at)
+                at += len(piece[0]) + 1
+        self.text = " ".join(pieces)
+
+    def original(self, place: int) -> int:
+        k = bisect_right(self.here, place) - 1
+        return self.there[k] + place - self.here[k]
+
+
 def blocks(text: str, longest: int) -> Iterator[tuple[int, str]]:
-    """(place, block) of lines with a cue; windows of 4 * longest step by half their length."""
-    cue, size, at = re.compile(CUE), 4 * longest, 0
-    for line in text.split("\n"):
-        for k in range(0, max(1, len(line) - size // 2), size // 2):
-            part = line[k:k + size] if len(line) > size else line
+    """(place, block) around cues; windows of 4 * longest step by half their length."""
+    cue, size, reach = re.compile(CUE), 4 * longest, []
+    for m in cue.finditer(text):
+        begin, end = max(0, m.start() - size // 2), m.end() + size // 2
+        if reach and begin <= reach[-1][1]:
+            reach[-1][1] = end
+        else:
+            reach.append([begin, end])
+    for begin, end in reach:
+        end = min(end, len(text))
+        for k in range(begin, max(begin + 1, end - size // 2), size // 2):
+            part = text[k:min(k + size, end)]
             if cue.search(part):
-                yield at + k, part
-            if len(line) <= size:
-                break
-        at += len(line) + 1
+                yield k, part
 
 
 class Scanner:
@@ -146,15 +178,16 @@ class Scanner:
 
     def scan(self, text: str, allowed: float) -> Iterator[tuple]:
         """Overlapping windows see a notice twice, or a part of it: of overlapping spans the one with most of its template stays."""
+        flat = Flat(text)
         found = {(at + hit[0], at + hit[1], *hit[2:4], tuple(hit[4]), tuple(hit[5]))
-                 for at, block in blocks(text, self.longest) for hit in self.notices(block, allowed)}
+                 for at, block in blocks(flat.text, self.longest) for hit in self.notices(block, allowed)}
         kept: list[tuple] = []
         for hit in sorted(found, key=lambda h: (len(h[4]) + len(h[5]) - len(self.words[h[2]]), h)):
             k = bisect_right(kept, hit[0], key=lambda h: h[0])
             if (not k or kept[k - 1][1] <= hit[0]) and (k == len(kept) or hit[1] <= kept[k][0]):
                 kept.insert(k, hit)
         for start, end, name, saved, missing, added in kept:
-            yield start, end, name, saved, list(missing), list(added)
+            yield flat.original(start), flat.original(end - 1) + 1, name, saved, list(missing), list(added)
 
 
 def license_notices(docs: DataFrame, templates: dict[str, str] | None = None, allowed: float = ALLOWED) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +221,22 @@ def test_several_notices_on_a_line(spark, between):
     assert [r.license for r in got] == names and not [r for r in got if r.missing or r.added]
 
 
+def wrapped(text, marker, width=60):
+    return "".join(f"{marker} {line}\n" for line in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("marker", ["", " *", "#", "//", "dnl", "--"])
+def test_wrapped_notices(spark, marker):
+    t, names = licenses.TEMPLATES, ["mit-notice", "gpl-3.0-notice", "apache-2.0-notice"]
+    texts = [f"{marker} Some program\n{marker}\n" + wrapped(t[n], marker) + "\n\nint main() { return 0; }\n" for n in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_notices(docs).collect()}
+    for i, name in enumerate(names):
+        assert (got[i].license, got[i].missing, got[i].added) == (name, [], [])
+        mine = texts[i][got[i].start:got[i].end]
+        assert mine.split()[0] == t[name].split()[0] and mine.split()[-1] == t[name].split()[-1].rstrip(".")
+
+
 # Packing
 
 def test_packing(docs, rows):
