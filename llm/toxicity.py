@@ -3,15 +3,16 @@
 A word's vector is the sum of hashed embeddings of the word and of its first six and four bytes, so
 inflected forms share what they have in common. Filters of one, two and three words run over the
 whole text; each filter's largest answer goes into a logistic layer. Training uses a bounded sample
-of labelled rows (TRAIN_CLEAN and TRAIN_TOXIC documents, TRAIN_WORDS words); scoring reads every
-document whole, in tasks, with the model as a broadcast of fixed size.
+of labelled rows (TRAIN_CLEAN and TRAIN_TOXIC documents, half of TRAIN_WORDS words for each kind); a text that
+does not fit is skipped, and texts above a hundredth of the words of their kind come last. Scoring reads
+every document whole, in tasks, with the model as a broadcast of fixed size.
 
 Thresholds are calibrated by language on scores of sample texts by models that did not see them. A score
 never reads the language column: the language is guessed from the words (naive Bayes on the same hashes).
 The score is shifted by its language's threshold, so DECISION separates the classes in every language.
 
 Null texts are empty; an empty text gets the score of a text without any word. Without labels of both
-kinds every score is 0.
+kinds every score is 0; if they exist but the sample holds only one, an error is raised.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import written
@@ -30,6 +31,7 @@ from llm.words import SPACE, Words, slices
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (6, 4)
 TRAIN_CLEAN, TRAIN_TOXIC, TRAIN_WORDS = 4000, 2000, 4_000_000
+LONG_SHARE = 100
 STEPS, BATCH, RATE, FOLDS, LEAST_TEXTS = 1000, 32, 0.1, 3, 3
 DECISION = 0.3
 SLICE = 1 << 20
@@ -191,21 +193,53 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    pa.array(np.diff(first))], ["rank", "lang", "toxic", "ids", "words"])
 
 
+def within_budget(rows: list, most: int, words: int) -> list[int]:
+    """Numbers `at` of rows (rank, order, words, at) taken in order of rank; a text that does not fit is skipped.
+
+    Texts above a LONG_SHARE of the words come after all others, with what is left.
+    """
+    chosen, left = [], words
+    for r in sorted(rows, key=lambda r: (r["words"] * LONG_SHARE > words, r["rank"], r["order"])):
+        if len(chosen) < most and r["words"] <= left:
+            chosen.append(r["at"])
+            left -= r["words"]
+    return chosen
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the rows that may be learnt from."""
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, clean: int = TRAIN_CLEAN, toxic: int = TRAIN_TOXIC,
                   words: int = TRAIN_WORDS) -> DataFrame:
-    """The bounded sample, chosen by nothing but the ids: rank, lang, toxic, ids."""
-    mark = F.xxhash64(F.lit(11), F.col("doc_id")).alias("rank")
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic"), mark).distinct()
+    """The bounded sample, chosen by the ids and the numbers of words: rank, lang, toxic, ids. Each kind has half the words."""
+    usable = labelled(labels).withColumn("rank", F.xxhash64(F.lit(11), F.col("doc_id")))
     some = usable.filter("toxic = 1").orderBy("rank").limit(toxic).unionAll(
         usable.filter("toxic = 0").orderBy("rank").limit(clean))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(some), "doc_id")  # clean + toxic rows at most
-    cut = written(texts.select("rank", "lang", "toxic", "text").mapInArrow(
-        _tokens, "rank long, lang string, toxic int, ids binary, words long"), "training")
-    so_far = F.sum("words").over(Window.orderBy("rank", "ids").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.orderBy("rank").limit(clean + toxic).withColumn("so_far", so_far).filter(
-        F.col("so_far") <= words).select("rank", "lang", "toxic", "ids")
+    cut = texts.select("rank", "lang", "toxic", "text").mapInArrow(
+        _tokens, "rank long, lang string, toxic int, ids binary, words long")
+    cut = written(cut.withColumns({"at": F.monotonically_increasing_id(), "order": F.xxhash64("ids", "lang")}), "training")
+    chosen = []
+    for kind, most in ((1, toxic), (0, clean)):
+        # Numbers only, as many as the sample has rows; repeated rows of a document count once.
+        rows = cut.filter(F.col("toxic") == kind).groupBy("rank", "order").agg(
+            F.min("words").alias("words"), F.min("at").alias("at")).orderBy("rank", "order").limit(most)
+        taken = within_budget(rows.collect(), most, words // 2)
+        chosen += [(at,) for at in taken]
+    picked = docs.sparkSession.createDataFrame(chosen, "at long")
+    return cut.join(F.broadcast(picked), "at").select("rank", "lang", "toxic", "ids")
+
+
+def no_model(docs: DataFrame, labels: DataFrame) -> None:
+    """Without a model all labelled documents must be of one kind; else nothing could be learnt from texts so long."""
+    known = docs.select("doc_id").join(labelled(labels), "doc_id")
+    if known.select("toxic").distinct().count() == 2:
+        raise ValueError("labels of both kinds exist, but the training sample has only one: the texts of the other "
+                         "have more words than its budget, or no sampled label has a document")
 
 
 def fit(rows: list) -> Model | None:
@@ -261,6 +295,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] = ("doc_id",),
     """The columns of `carry` and the score of every document."""
     trained = training_rows(docs, labels, **sample).repartition(1).mapInArrow(_fit, "model binary").collect()
     model = pickle.loads(trained[0]["model"]) if trained else None
+    if model is None:
+        no_model(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*carry, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

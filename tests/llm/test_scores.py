@@ -71,6 +71,22 @@ def test_held_out_accuracy(spark):
     assert got[600] == got[601] < toxicity.DECISION
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    docs, labels = made_up(spark, 200)
+    learnt = toxicity.labelled(labels).withColumn("rank", F.xxhash64(F.lit(11), F.col("doc_id")))
+    first = learnt.orderBy("rank").first()
+    long = docs.filter(F.col("doc_id") != first.doc_id).unionAll(
+        spark.createDataFrame([(first.doc_id, "word " * 50_000, "aa")], docs.schema))
+    sample = toxicity.training_rows(long, labels, words=60_000).collect()
+    whole = {r["rank"] for r in learnt.collect()}
+    assert {r["rank"] for r in sample} == whole - {first["rank"]}
+    assert {r.score for r in toxicity.toxicity(long, labels, words=60_000).collect()} != {0.0}
+    only = docs.join(learnt.select("doc_id", "toxic"), "doc_id").withColumn(
+        "text", F.when(F.col("toxic") == 1, F.repeat(F.lit("word "), 50_000)).otherwise(F.col("text"))).drop("toxic")
+    with pytest.raises(ValueError, match="only one"):
+        toxicity.toxicity(only, labels, words=60_000)
+
+
 def test_scores_ignore_columns(spark):
     docs, labels = made_up(spark, 200)
     a = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, toxic=20, clean=60).collect()}
