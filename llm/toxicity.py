@@ -7,8 +7,10 @@ of labelled rows (TRAIN_CLEAN and TRAIN_TOXIC documents, half of TRAIN_WORDS wor
 does not fit is skipped, and texts above a hundredth of the words of their kind come last. Scoring reads
 every document whole, in tasks, with the model as a broadcast of fixed size.
 
-Thresholds are calibrated by language on scores of sample texts by models that did not see them. A score
-never reads the language column: the language is guessed from the words (naive Bayes on the same hashes).
+Thresholds are calibrated by language on all labelled rows that are not held out: three fold models, each
+trained without the sample rows of its fold, score the rows of their fold, and the thresholds come from counts of
+logits in cells of 1 / CELLS. A score never reads the language column: the language is guessed from the words
+(naive Bayes on the same hashes); every language of the documents has a profile.
 The score is shifted by its language's threshold, so DECISION separates the classes in every language.
 
 Null texts are empty; an empty text gets the score of a text without any word. Without labels of both
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import written
@@ -35,7 +37,9 @@ LONG_SHARE = 100
 STEPS, BATCH, RATE, FOLDS, LEAST_TEXTS = 1000, 32, 0.1, 3, 3
 DECISION = 0.3
 SLICE = 1 << 20
-LANGUAGES = 16
+# Languages are compared so many at a time; each is learnt from the sample and from a few texts of its own.
+LANGUAGES, LANGUAGE_TEXTS, LANGUAGE_WORDS = 16, 20, 2000
+CELLS, FARTHEST = 64, 32
 
 BETWEEN = SPACE.copy()
 BETWEEN[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -90,9 +94,17 @@ class Model:
 
     def language(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The guessed language of each text, as a row of `thresholds`."""
-        total = np.zeros((len(ids) + 1, self.by_word.shape[1]))
-        np.cumsum(self.by_word[ids[:, 0]], axis=0, out=total[1:])
-        return (total[first[1:]] - total[first[:-1]]).argmax(axis=1)
+        rows = np.arange(len(first) - 1)
+        best, found = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+        for k in range(0, self.by_word.shape[1], LANGUAGES):
+            some = self.by_word[:, k:k + LANGUAGES]
+            total = np.zeros((len(ids) + 1, some.shape[1]))
+            np.cumsum(some[ids[:, 0]], axis=0, out=total[1:])
+            mine = total[first[1:]] - total[first[:-1]]
+            top = mine.argmax(axis=1)
+            better = mine[rows, top] > best
+            best[better], found[better] = mine[rows, top][better], k + top[better]
+        return found
 
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         shifted = self.logits(ids, first) - self.thresholds[self.language(ids, first)]
@@ -142,39 +154,45 @@ def train(model: Model, texts: list[np.ndarray], toxic: np.ndarray, steps: int =
             model.embedding[BUCKETS] = 0
 
 
-def best_threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the gap at which the F1 measure is best."""
-    order = np.argsort(-logits, kind="stable")
-    z, y = logits[order], toxic[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][z[:-1] == z[1:]] = -1
-    k = int(np.argmax(f1))
-    return float(z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 2)) / 2
+def best_threshold(cells: dict[int, list[int]]) -> float:
+    """The middle of the gap at which the F1 measure is best; `cells` holds clean and toxic counts of cells of logits."""
+    at = np.array(sorted(cells, reverse=True))
+    clean, toxic = np.array([cells[c] for c in at.tolist()], np.float64).T
+    hits = np.cumsum(toxic)
+    k = int(np.argmax(2 * hits / (hits + np.cumsum(clean) + toxic.sum())))
+    return float(at[k] + (at[k + 1] + 1 if k + 1 < len(at) else at[k] - 2 * CELLS)) / 2 / CELLS
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), np.cumsum([0, *map(len, texts)])
 
 
-def calibrate(model: Model, spoken: np.ndarray, logits: np.ndarray, toxic: np.ndarray, least: int = 20) -> None:
-    """A threshold for each guessed language; languages with few cases of a kind take the common one."""
-    common = best_threshold(logits, toxic)
+def calibrate(model: Model, counts: list, least: int = 20) -> None:
+    """A threshold for each guessed language from counts (language, cell, toxic, n); with few cases of a kind the common one."""
+    every: dict[int, list[int]] = {}
+    by_language: dict[int, dict[int, list[int]]] = {}
+    for language, cell, toxic, n in counts:
+        for cells in (every, by_language.setdefault(language, {})):
+            cells.setdefault(cell, [0, 0])[toxic] += n
+
+    def fewest(cells):
+        return min((sum(c[k] for c in cells.values()) for k in (0, 1)), default=0)
+    common = best_threshold(every) if fewest(every) else 0.0
     for k in range(len(model.thresholds)):
-        mine = spoken == k
-        enough = min(toxic[mine].sum(), (1 - toxic[mine]).sum()) >= least
-        model.thresholds[k] = best_threshold(logits[mine], toxic[mine]) if enough else common
+        cells = by_language.get(k, {})
+        model.thresholds[k] = best_threshold(cells) if fewest(cells) >= least else common
 
 
 def learn_languages(model: Model, texts: list[np.ndarray], names: list[str | None]) -> None:
-    """Word log-likelihoods of the commonest languages of the sample."""
+    """Word log-likelihoods of all languages of the texts, the commonest first."""
     known, counts = np.unique([n for n in names if n] or ["?"], return_counts=True)
-    model.languages = known[np.argsort(-counts, kind="stable")[:LANGUAGES]].tolist()
-    seen = np.full((BUCKETS, len(model.languages)), 0.1, np.float64)
+    model.languages = known[np.argsort(-counts, kind="stable")].tolist()
+    seen = np.full((BUCKETS, len(model.languages)), 0.1, np.float32)
+    number = {name: k for k, name in enumerate(model.languages)}
     for ids, name in zip(texts, names, strict=True):
-        if name in model.languages:
-            np.add.at(seen[:, model.languages.index(name)], ids[:, 0], 1)
-    model.by_word = np.log(seen / seen.sum(axis=0)).astype(np.float32)
+        if name in number:
+            np.add.at(seen[:, number[name]], ids[:, 0], 1)
+    model.by_word = np.log(seen / seen.sum(axis=0, dtype=np.float64)).astype(np.float32)
     model.thresholds = np.zeros(len(model.languages), np.float32)
 
 
@@ -183,11 +201,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def rank() -> F.Column:
+    """The order of the sample; its remainder is the fold."""
+    return F.xxhash64(F.lit(11), F.col("doc_id"))
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in slices(batch.column("text"), SLICE):
             ids, first = word_ids(raw, offsets)
-            out = [ids[first[i]:first[i + 1]].astype(np.uint16).tobytes() for i in range(b - a)]
+            learnt = batch.column("toxic").slice(a, b - a).is_valid().to_pylist()
+            out = [ids[first[i]:first[i + 1]][:None if learnt[i] else LANGUAGE_WORDS].astype(np.uint16).tobytes()
+                   for i in range(b - a)]
             yield pa.record_batch([batch.column("rank").slice(a, b - a), batch.column("lang").slice(a, b - a),
                                    batch.column("toxic").slice(a, b - a), pa.array(out, pa.binary()),
                                    pa.array(np.diff(first))], ["rank", "lang", "toxic", "ids", "words"])
@@ -214,11 +239,18 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def training_rows(docs: DataFrame, labels: DataFrame, clean: int = TRAIN_CLEAN, toxic: int = TRAIN_TOXIC,
                   words: int = TRAIN_WORDS) -> DataFrame:
-    """The bounded sample, chosen by the ids and the numbers of words: rank, lang, toxic, ids. Each kind has half the words."""
-    usable = labelled(labels).withColumn("rank", F.xxhash64(F.lit(11), F.col("doc_id")))
+    """The bounded sample, chosen by the ids and the numbers of words: rank, lang, toxic, ids. Each kind has half the words.
+
+    Rows without `toxic` are the first texts of each language, for its profile only.
+    """
+    usable = labelled(labels).withColumn("rank", rank())
     some = usable.filter("toxic = 1").orderBy("rank").limit(toxic).unionAll(
         usable.filter("toxic = 0").orderBy("rank").limit(clean))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    by_rank = Window.partitionBy("lang").orderBy("rank")
+    spoken = docs.select("doc_id", lang.alias("lang"), rank().alias("rank")).filter(F.col("doc_id").isNotNull() & ~held_out(
+        F.col("doc_id")) & (F.col("lang") != "")).withColumn("n", F.row_number().over(by_rank)).filter(F.col("n") <= LANGUAGE_TEXTS)
+    some = some.unionAll(spoken.select("doc_id", F.lit(None).cast("int"), "rank").distinct())
     texts = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(some), "doc_id")  # clean + toxic rows at most
     cut = texts.select("rank", "lang", "toxic", "text").mapInArrow(
         _tokens, "rank long, lang string, toxic int, ids binary, words long")
@@ -231,7 +263,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, clean: int = TRAIN_CLEAN,
         taken = within_budget(rows.collect(), most, words // 2)
         chosen += [(at,) for at in taken]
     picked = docs.sparkSession.createDataFrame(chosen, "at long")
-    return cut.join(F.broadcast(picked), "at").select("rank", "lang", "toxic", "ids")
+    profiles = cut.filter("toxic IS NULL").withColumn("n", F.row_number().over(
+        Window.partitionBy("lang").orderBy("rank", "order"))).filter(F.col("n") <= LANGUAGE_TEXTS)
+    return cut.join(F.broadcast(picked), "at").unionByName(profiles.drop("n")).select("rank", "lang", "toxic", "ids")
 
 
 def no_model(docs: DataFrame, labels: DataFrame) -> None:
@@ -242,42 +276,81 @@ def no_model(docs: DataFrame, labels: DataFrame) -> None:
                          "have more words than its budget, or no sampled label has a document")
 
 
-def fit(rows: list) -> Model | None:
+def fit(rows: list) -> tuple[Model, list[Model | None]] | None:
+    """The model and, for each fold, one that has not seen the fold's rows."""
     if not {0, 1} <= {r["toxic"] for r in rows}:
         return None
     texts = [np.frombuffer(r["ids"], np.uint16).astype(np.int32).reshape(-1, HASHES) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows])
     model = Model()
     learn_languages(model, texts, [r["lang"] for r in rows])
-    spoken = model.language(*joined(texts))
+    learnt = [i for i, r in enumerate(rows) if r["toxic"] is not None]
+    texts, toxic = [texts[i] for i in learnt], np.array([rows[i]["toxic"] for i in learnt])
     # What stands in a few texts only says nothing about others: such buckets stay at zero.
     seen_in = np.zeros(BUCKETS + 1, np.int64)
     for ids in texts:
         seen_in[np.unique(ids)] += 1
     rare = seen_in < LEAST_TEXTS
     texts = [np.where(rare[ids], BUCKETS, ids).astype(np.int32) for ids in texts]
-    # Every text is scored once by a model that has not seen it; these scores set the thresholds.
-    unseen, part = np.zeros(len(rows)), np.empty(len(rows), np.int64)
-    for kind in (0, 1):
-        part[toxic == kind] = np.arange(int((toxic == kind).sum())) % FOLDS
+    part, folds = np.array([rows[i]["rank"] % FOLDS for i in learnt]), []
     for k in range(FOLDS):
-        other, mine = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        if len(mine) and len(set(toxic[other])) == 2:
-            one = Model(seed=50 + k)
-            train(one, [texts[i] for i in other], toxic[other])
-            unseen[mine] = one.logits(*joined([texts[i] for i in mine]))
+        other = np.flatnonzero(part != k)
+        folds.append(None)
+        if len(set(toxic[other].tolist())) == 2:
+            folds[k] = Model(seed=50 + k)
+            train(folds[k], [texts[i] for i in other], toxic[other])
+            folds[k].embedding[rare] = 0
     train(model, texts, toxic)
     model.embedding[rare] = 0
-    calibrate(model, spoken, unseen, toxic)
-    return model
+    return model, folds
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task trains on the sample, whose size is bounded; the driver only sees the model."""
-    rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["rank"], r["ids"], r["toxic"]))
+    """One task trains on the sample, whose size is bounded; the driver only sees the models."""
+    rows = sorted((r for batch in batches for r in batch.to_pylist()),
+                  key=lambda r: (r["rank"], r["ids"], -1 if r["toxic"] is None else r["toxic"], r["lang"] or ""))
     yield pa.record_batch([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
 
+def _unseen(shared):
+    """Guessed language and cell of the logit of every row, by the model of its fold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, folds = shared.value
+        for batch in batches:
+            part = batch.column("fold").to_numpy(zero_copy_only=False)
+            for a, b, raw, offsets in slices(batch.column("text"), SLICE):
+                ids, first = word_ids(raw, offsets)
+                spoken = model.language(ids, first)
+                for k, one in enumerate(folds):
+                    mine = np.flatnonzero(part[a:b] == k)
+                    if one is None or not len(mine):
+                        continue
+                    z = one.logits(*joined([ids[first[i]:first[i + 1]] for i in mine]))
+                    cell = np.clip(np.floor(z * CELLS), -FARTHEST * CELLS, FARTHEST * CELLS - 1).astype(np.int32)
+                    yield pa.record_batch([batch.column("doc_id").take(pa.array(a + mine)), pa.array(spoken[mine].astype(np.int32)),
+                                           pa.array(cell)], ["doc_id", "language", "cell"])
+    return run
+
+
+def unseen_counts(docs: DataFrame, labels: DataFrame, models: tuple) -> DataFrame:
+    """language, cell, toxic, n over all labelled documents that are not held out."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        "doc_id", F.pmod(rank(), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    cells = rows.mapInArrow(_unseen(shared), f"doc_id {kind}, language int, cell int")
+    return cells.join(labelled(labels), "doc_id").groupBy("language", "cell", "toxic").agg(F.count("*").alias("n"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, **sample: int) -> Model | None:
+    found = training_rows(docs, labels, **sample).repartition(1).mapInArrow(_fit, "model binary").collect()
+    models = pickle.loads(found[0]["model"]) if found else None
+    if models is None:
+        no_model(docs, labels)
+        return None
+    calibrate(models[0], unseen_counts(docs, labels, models).collect())
+    return models[0]
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -293,11 +366,7 @@ def _score(shared):
 
 def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] = ("doc_id",), **sample: int) -> DataFrame:
     """The columns of `carry` and the score of every document."""
-    trained = training_rows(docs, labels, **sample).repartition(1).mapInArrow(_fit, "model binary").collect()
-    model = pickle.loads(trained[0]["model"]) if trained else None
-    if model is None:
-        no_model(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, **sample))
     rows = docs.select(*carry, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_score(shared), f"{kinds}, score double")

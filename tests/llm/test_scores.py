@@ -87,6 +87,34 @@ def test_long_texts_do_not_end_the_sample(spark):
         toxicity.toxicity(only, labels, words=60_000)
 
 
+def test_thresholds_come_from_all_labels(spark):
+    docs, labels = made_up(spark, 400)
+    many = docs.withColumns({
+        "lang": F.when(F.col("doc_id").between(0, 39), F.concat(F.lit("l"), F.col("doc_id") % 20)).otherwise(F.col("lang")),
+        "text": F.when(F.col("doc_id").between(0, 39), F.repeat(F.concat(F.lit("own"), F.col("doc_id") % 20, F.lit(" ")), 30))
+        .otherwise(F.col("text"))})
+    rows = toxicity.training_rows(many, labels, toxic=15, clean=15).collect()
+    assert sorted(r["toxic"] for r in rows if r["toxic"] is not None) == [0] * 15 + [1] * 15
+    models = toxicity.fit(sorted(rows, key=lambda r: (r["rank"], r["ids"])))
+    spoken = {r["lang"] for r in many.filter(~toxicity.held_out(F.col("doc_id"))).collect() if r["lang"]}
+    assert set(models[0].languages) == spoken and len(spoken) > 16
+    counts = toxicity.unseen_counts(many, labels, models).collect()
+    assert sum(r["n"] for r in counts) == many.join(toxicity.labelled(labels), "doc_id").count()
+    toxicity.calibrate(models[0], counts)
+    big = [models[0].languages.index(x) for x in ("aa", "bb")]
+    for k in big:  # fewer than 20 rows of a kind in the sample, more in the table
+        cells = {}
+        for r in counts:
+            if r["language"] == k:
+                cells.setdefault(r["cell"], [0, 0])[r["toxic"]] += r["n"]
+        assert models[0].thresholds[k] == pytest.approx(toxicity.best_threshold(cells))
+
+
+def test_best_threshold():
+    assert toxicity.best_threshold({64: [0, 5], 0: [9, 0]}) == (64 + 1) / 2 / 64
+    assert toxicity.best_threshold({64: [0, 5]}) == 0
+
+
 def test_scores_ignore_columns(spark):
     docs, labels = made_up(spark, 200)
     a = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, toxic=20, clean=60).collect()}
