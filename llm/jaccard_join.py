@@ -370,8 +370,9 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, blo
     return out.distinct()
 
 
-def jaccard_classes(docs: DataFrame, width: int, num: int, den: int, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; sets link when den * common >= num * union."""
+def labelled_sets(docs: DataFrame, width: int, num: int, den: int, block: int = BLOCK,
+                  depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Sets of rows (doc_id, n_shingles, node), and for each node its class and the least doc_id of it, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, two long, counts binary"),
                    "shingle-sets")
@@ -381,9 +382,15 @@ def jaccard_classes(docs: DataFrame, width: int, num: int, den: int, block: int
     parts = components(links(usable, nodes, width, num, den, block, depth))
     joined = written(nodes.select("node", "rep").join(parts, "node"), "joined")
     least = written(joined.groupBy("component").agg(F.min("rep").alias("least")), "least")
-    linked_ids = joined.join(least, "component").select("node", "least")
+    linked_ids = joined.join(least, "component").select("node", "component", "least")
     label = written(nodes.select("node", "rep").join(linked_ids, "node", "left").select(
-        "node", F.coalesce("least", "rep").alias("component_id")), "labels")
+        "node", F.coalesce("component", "node").alias("class"), F.coalesce("least", "rep").alias("component_id")), "labels")
+    return sets, label
+
+
+def jaccard_classes(docs: DataFrame, width: int, num: int, den: int, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; sets link when den * common >= num * union."""
+    sets, label = labelled_sets(docs, width, num, den, block, depth)
     full = sets.filter("n_shingles > 0").join(label, "node").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     none = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -393,26 +400,32 @@ def jaccard_classes(docs: DataFrame, width: int, num: int, den: int, block: int
 
 
 def first_of_class(docs: DataFrame, width: int, num: int, den: int, carry: list[str]) -> DataFrame:
-    """The columns of `carry` of one document of each class, the one of the smallest doc_id.
+    """The columns of `carry` of one row of each class, the one of the smallest doc_id and then text.
 
-    Documents without words or without doc_id all stay; rows of one doc_id are one document, of which the
-    row with the smallest text stays. Only rows whose id may have to go move; the others stay in their task.
+    Rows without words or without doc_id all stay. Rows are documents: of equal ids with different texts each
+    row is in the class of its own set. `carry` holds doc_id and text. Only rows whose id may have to go move; the
+    others stay in their task.
     """
-    classes = written(jaccard_classes(docs.select("doc_id", "text"), width, num, den).filter("doc_id IS NOT NULL"),
-                      "classes")
-    going = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).filter(
-        "n > 1 OR c < doc_id").select(F.col("doc_id").cast("long"))
+    sets, label = labelled_sets(docs.select("doc_id", "text"), width, num, den)
+    rows = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "node").join(label, "node")
+    classes = written(rows.groupBy("doc_id", "node", "class", "component_id").agg(F.count("*").alias("n")), "classes")
+    going = classes.groupBy("doc_id", "class").agg(F.sum("n").alias("n"), F.min("component_id").alias("c")).filter(
+        "n > 1 OR c < doc_id").select("doc_id").distinct()
     going = written(going, "going")
     shared = docs.sparkSession.sparkContext.broadcast(build(going, going.count()))
 
-    @F.pandas_udf("boolean")
-    def may_go(ids: pd.Series) -> pd.Series:
+    @F.pandas_udf("long")
+    def may_go(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        """The node of a row that may have to go; null for rows that stay."""
         packed, bits = shared.value
-        known = ids.notna()
-        return pd.Series(holds(np.frombuffer(packed, np.uint8), bits, ids.fillna(0).to_numpy(np.int64))) & known.reset_index(drop=True)
-
-    marked = docs.select(*carry, may_go(F.col("doc_id").cast("long")).alias("_may_go"))
-    stay = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    chosen = marked.filter("_may_go").join(stay, "doc_id").withColumn("_n", number).filter("_n = 1")
-    return marked.filter("NOT _may_go").select(*carry).unionAll(chosen.select(*carry))
+        some = np.flatnonzero(holds(np.frombuffer(packed, np.uint8), bits, ids.fillna(0).to_numpy(np.int64)) & ids.notna().to_numpy())
+        out = pd.Series([None] * len(ids), dtype="Int64")
+        found = [digests(x)[0] if len(x) else None for x in shingle_sets(pa.array(texts.iloc[some].tolist(), pa.string()), width)]
+        out.iloc[some] = pd.array(found, "Int64")
+        return out
+
+    marked = docs.select(*carry, may_go(F.col("doc_id").cast("long"), F.col("text")).alias("_node"))
+    stay = classes.filter("doc_id = component_id").select("doc_id", F.col("node").alias("_node"), F.col("class").alias("_class"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "_class").orderBy("text"))
+    chosen = marked.filter("_node IS NOT NULL").join(stay, ["doc_id", "_node"]).withColumn("_n", number).filter("_n = 1")
+    return marked.filter("_node IS NULL").select(*carry).unionAll(chosen.select(*carry))

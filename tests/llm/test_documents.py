@@ -150,6 +150,15 @@ def test_one_of_each_class(docs, rows):
     assert Counter(r.doc_id for r in got) == Counter(want)
 
 
+def test_one_row_of_each_class_under_repeated_ids(spark):
+    one, two, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "bac")
+    data = [(7, one), (9, one + " more"), (7, two), (3, two + " more"), (5, other), (5, "quite unlike " + one.upper()[:40]),
+            (5, other), (8, None), (8, " ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = jaccard_join.first_of_class(docs, 5, 80, 100, ["doc_id", "text"]).collect()
+    assert Counter(map(tuple, got)) == Counter([data[0], data[3], data[4], data[5], data[7], data[8]])
+
+
 def test_rows_without_id_stay(spark):
     text = " ".join(map(str, range(50)))
     docs = spark.createDataFrame([(None, text), (None, text), (4, text), (3, text + " more"), (9, None)], "doc_id long, text string")
