@@ -1,8 +1,9 @@
 """Personal data: fixed forms, and identifiers discovered from the words before known ones.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by their forms. They are the
-seeds of a bootstrap: the two words before a seed are a lexical pattern; other tokens that look like
-identifiers (enough digits, bounded length) are candidates. Patterns and values form a graph. In each
+seeds of a bootstrap: the two words before a seed are a lexical pattern. Candidates are what may follow a
+pattern: runs of up to eight tokens with digits or of short capitals with at least one digit (numbers and
+identifiers in groups), and addresses written around at and dot. How many digits there are decides nothing. Patterns and values form a graph. In each
 round a pattern scores, for a kind, the mean confidence of its distinct values (with enough support), and a
 value not known yet gets the mean score of its patterns. Candidates of values at or above ACCEPT
 after ROUNDS rounds become spans of their kind, beside the base spans, which always stay.
@@ -30,8 +31,13 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-# Tokens of 6 to 64 characters with 4 digits or more can be identifiers.
-CANDIDATE = r"(?<!\S)(?=\S{6,64}(?!\S))\S*?[0-9]\S*?[0-9]\S*?[0-9]\S*?[0-9]\S*+"
+# A token with a digit, of at most 64 characters, and the groups after it; short capitals may stand before.
+GROUP = r"[^\s0-9]{0,63}+[0-9]\S{0,63}+(?!\S)"
+CANDIDATE = (r"(?<!\S)(?:[A-Z]{1,4}\x20)?" + GROUP + r"(?:(?<![.,;:!?])\x20(?:" + GROUP + r"|[A-Z]{1,4}(?=\x20?" + GROUP + r")\x20?" + GROUP + r")){0,7}+")
+AT, DOT = r"(?:\x20?[(\[{]\x20?(?i:at|@)\x20?[)\]}]\x20?)", r"(?:\x20?[(\[{]\x20?(?i:dot|\.)\x20?[)\]}]\x20?|\x20(?i:dot)\x20|\.)"
+NAME = r"[A-Za-z0-9_%+-]{1,64}+"
+ADDRESS = (r"(?<![A-Za-z0-9._%+-])" + NAME + "(?:" + DOT + NAME + "){0,4}(?:" + AT + r"|\x20(?i:at)\x20|\x20@\x20)"
+           + NAME + "(?:" + DOT + NAME + "){1,4}")
 CONTEXT = 80
 SUPPORT, ACCEPT, ROUNDS = 3.0, 0.7, 3
 
@@ -83,13 +89,17 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens without the punctuation around them."""
+    """What may be an identifier, without the punctuation around it; addresses first."""
     def bare(s):
         lead = F.length(F.regexp_extract(s["value"], r"^[\"'(\[<{]*", 0))
         value = F.regexp_replace(F.regexp_replace(s["value"], r"^[\"'(\[<{]*", ""), r"[.,;:!?)\]>}\"']*$", "")
         return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(value)).alias("end"),
                         value.alias("value"))
-    return F.transform(matches(text, CANDIDATE), bare)
+    none = F.array().cast(_SPAN)
+    numbers = F.when(text.rlike("[0-9]"), F.transform(matches(text, CANDIDATE), bare)).otherwise(none)
+    found = F.when(text.rlike(r"(?i)[(\[{\x20](?:at|@)[)\]}\x20]"), matches(text, ADDRESS)).otherwise(none)
+    beside = F.filter(numbers, lambda c: ~F.exists(found, lambda a: (c["start"] < a["end"]) & (a["start"] < c["end"])))
+    return F.concat(found, beside)
 
 
 def context(text: Column, start: Column) -> Column:
@@ -126,8 +136,7 @@ def _read(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
     for kind in KINDS:
         df = df.withColumn(kind, base_spans(F.col("text"), kind))
-    df = df.withColumn("more", F.when(F.col("text").rlike("[0-9]"), candidates(F.col("text"))).otherwise(
-        F.array().cast(_SPAN)))
+    df = df.withColumn("more", candidates(F.col("text")))
     base = F.concat(*[_labelled(F.col(kind), n, kind) for n, kind in enumerate(KINDS)])
     df = df.withColumn("base", base)
     free = F.filter("more", lambda c: (F.length(c["value"]) > 0) & ~F.exists(

@@ -207,6 +207,18 @@ def test_patterns_find_more(spark):
     assert got[8] == [("phone", 18, 28)] and got[9] == [] and len(got[0]) == 1
 
 
+def test_patterns_find_spaced_forms(spark):
+    texts = [f"please call me at +1 (906) 555-{1000 + i} soon" for i in range(20)]
+    texts += [f"my mail is user{i}@example.org today" for i in range(20)]
+    more = [("please call me at ", "030 901 8200", ", soon"), ("my mail is ", "anna (at) example.org", " today"),
+            ("my mail is ", "bob [at] example [dot] org", ""), ("please call me at ", "123", " then")]
+    docs = spark.createDataFrame(list(enumerate([*texts, *map("".join, more), "batch number is 12 34 56"])), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r["all"]] for r in pii.personal_data(docs).collect()}
+    for i, (a, b, _) in enumerate(more):
+        assert got[40 + i] == [("email" if "mail" in a else "phone", len(a), len(a) + len(b))]
+    assert got[44] == []
+
+
 # License notices
 
 def test_notices(spark):
