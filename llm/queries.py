@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import exact_dedup, jaccard_join, licenses, line_dedup, mixing, packing, pii, substring_dedup, topk, toxicity
+from llm import (
+    exact_dedup,
+    fill_middle,
+    jaccard_join,
+    licenses,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    pivot_index,
+    prefix_trie,
+    substring_dedup,
+    topk,
+    toxicity,
+)
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +148,71 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id""")
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, folder, "documents"), 3, 90, 100)
+
+
+@question("""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    u AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+          CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+          CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+               WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    p AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM p""")
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.rearrange(table(spark, folder, "documents"))
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(whole.cast("binary"), 256).alias("restored_sha256"))
+
+
+@question("""
+    WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+               FROM conversations WHERE conv_id IS NOT NULL),
+    h AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+              string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+              lambda s, b: xor(xor(s, b) >> 1, 3988292384::BIGINT * (xor(s, b) & 1))), 4294967295::BIGINT) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT h.conv_id, 1 AS o, t.i, t.x FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND t.i <= h.h
+          UNION ALL SELECT h.conv_id, 2, t.i, t.x FROM h JOIN t ON t.conv_id = h.conv_id AND t.i > h.h),
+    s AS (SELECT h.conv_id, coalesce(list(r.x ORDER BY o, i) FILTER (WHERE r.x IS NOT NULL), []) AS s
+          FROM h LEFT JOIN r ON r.conv_id = h.conv_id GROUP BY h.conv_id),
+    p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM s),
+    q AS (SELECT conv_id, s, depth, list_slice(s, 1, depth) AS k FROM p),
+    n AS (SELECT k, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            string_agg(CASE WHEN len(s) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM q GROUP BY k),
+    w AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(k[depth].t, '[^ \t\n\x0B\f\r]+')) END AS own,
+            NOT EXISTS (SELECT 1 FROM n c WHERE c.depth = n.depth + 1 AND list_slice(c.k, 1, n.depth) = n.k) AS leaf FROM n),
+    b AS (SELECT a.k, CAST(sum(d.own) AS BIGINT) AS saved_tokens, CAST(sum(d.leaf::INT) AS BIGINT) AS n_leaves,
+            count(*) FILTER (d.depth = a.depth + 1) AS n_children
+          FROM w a JOIN w d ON list_slice(d.k, 1, a.depth) = a.k GROUP BY a.k)
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens,
+           sha256(coalesce(n.ends, '')) AS ends_sha256
+    FROM n JOIN b ON b.k = n.k LEFT JOIN n u ON n.depth > 0 AND u.k = list_slice(n.k, 1, n.depth - 1)""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# Every pair within the threshold: the index may miss some of them.
+@question("""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    g AS (SELECT row_number() OVER () AS r, vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v
+          WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+    l AS (SELECT a.r, b.r AS s, a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.r <> b.r AND len(a.v) = len(b.v)
+          AND list_inner_product(a.v, b.v) >= 0.9 * a.n * b.n),
+    c AS (SELECT r, s, y FROM l UNION SELECT c.r, l.s, l.y FROM c JOIN l ON c.s = l.r),
+    m AS (SELECT r, min(y) AS least FROM c GROUP BY r),
+    k AS (SELECT r, count(*) AS n FROM l GROUP BY r)
+    SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce(m.least, vec_id)) AS kept
+    FROM g LEFT JOIN m USING (r) LEFT JOIN k USING (r)
+    UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM g)""")
+def op13_pivot_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, folder, "embeddings").withColumnRenamed("embedding", "vector"))
