@@ -11,8 +11,10 @@ precision: links are exact, only their retrieval is not complete. Recall is meas
   Their number grows with the cube root of the rows, at most MOST_PIVOTS, which keeps lists short; prefixes grow with it.
 * Equal vectors are one node with a weight from the start, however many there are.
 * A pair that shares more pivots meets in several lists and counts in one, that of its smallest shared pivots.
-* Lists are first compared by pivots alone; only vectors that share enough with another one in the list in which
-  they count are moved. Long lists are cut into blocks and compared block by block, whole.
+* Lists are first compared by pivots and by the signs of 64 fixed projections; only vectors that share enough pivots with
+  another one in the list in which they count, and differ in no more signs than linked vectors do, are moved. The number
+  of differing signs is binomial, and the bound lies five deviations above its mean at the threshold (one link in a million is
+  lost at the threshold, fewer above it). Long lists are cut into blocks and compared block by block, whole.
 * Of a block, only links that connect something new there go on to the components, and counts, not pairs.
 
 Vectors that are null, empty or zero or hold null or non-finite components link with nothing, as do rows without vec_id
@@ -96,12 +98,25 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.n
     return np.take_along_axis(some, order, axis=1)
 
 
+def signs(vectors: np.ndarray) -> np.ndarray:
+    """Signs of 64 projections on fixed random directions, as bits of one number."""
+    planes = np.random.default_rng(64).normal(size=(vectors.shape[1], 64))
+    return np.packbits(vectors @ planes > 0, axis=1).view(np.int64).ravel()
+
+
+def most_signs(threshold: float) -> int:
+    """Signs in which vectors of this cosine differ at most, but for chances beyond five deviations."""
+    share = np.arccos(threshold) / np.pi
+    return int(np.ceil(64 * share + 5 * np.sqrt(64 * share * (1 - share))))
+
+
 def _describe(pivots, prefix: int):
-    """vec_id, node (a digest of the vector) and its first pivots; both null if it takes no part."""
+    """vec_id, node (a digest of the vector), its first pivots and its signs; all null if it takes no part."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes: list = [None] * batch.num_rows
             first: list = [None] * batch.num_rows
+            bits: list = [None] * batch.num_rows
             named = np.asarray(batch.column("vec_id").is_valid())
             for rows, units in unit_vectors(batch.column("vector")):
                 if not len(rows):
@@ -110,12 +125,14 @@ def _describe(pivots, prefix: int):
                 raw = np.asarray(raw).reshape(len(rows), -1) + 0.0
                 for begin in range(0, len(rows), 2048):
                     near = nearest_pivots(units[begin:begin + 2048], pivots.value, prefix)
+                    sides = signs(units[begin:begin + 2048]).tolist()
                     for at, row in enumerate(rows[begin:begin + 2048].tolist()):
                         if named[row]:
                             nodes[row] = hashlib.sha256(raw[begin + at].tobytes()).digest()[:16]
                             first[row] = near[at]
+                            bits[row] = sides[at]
             yield pa.record_batch([batch.column("vec_id"), pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int32())),
-                                   batch.column("vector")], ["vec_id", "node", "pivots", "vector"])
+                                   pa.array(bits, pa.int64()), batch.column("vector")], ["vec_id", "node", "pivots", "signs", "vector"])
     return run
 
 
@@ -180,13 +197,17 @@ def _meetings(table: pa.Table, group: np.ndarray, shared: int) -> Iterator[tuple
                 yield counted, counted + step
 
 
-def _company(shared: int):
+def _company(shared: int, threshold: float):
     """Members of lists that have somebody to be compared with there."""
+    most = most_signs(threshold)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _whole_groups(batches):
             some = np.zeros(len(group), bool)
+            bits = np.asarray(table.column("signs"))
             for a, b in _meetings(table, group, shared):
-                some[a] = some[b] = True
+                alike = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= most
+                some[a[alike]] = some[b[alike]] = True
             yield from table.select(["key", "size", "pair", "side", "node"]).filter(pa.array(some)).combine_chunks().to_batches()
     return run
 
@@ -271,17 +292,17 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, shared: int = SHARE
     prefix = prefix or prefix_length(len(chosen))
     held = rows.sparkSession.sparkContext.broadcast(chosen)
     kind = rows.schema["vector"].dataType.simpleString()
-    points = written(rows.mapInArrow(_describe(held, prefix), f"vec_id long, node binary, pivots array<int>, vector {kind}"),
-                     "points")
+    points = written(rows.mapInArrow(_describe(held, prefix), f"vec_id long, node binary, pivots array<int>, "
+                                     f"signs long, vector {kind}"), "points")
     held.destroy()
     nodes = written(points.filter("node IS NOT NULL").groupBy("node").agg(
         F.count("*").alias("weight"), F.min("vec_id").alias("vec_id"), F.first("pivots").alias("pivots"),
-        F.first("vector").alias("vector")), "nodes")
+        F.first("signs").alias("signs"), F.first("vector").alias("vector")), "nodes")
     postings = nodes.select("node", "pivots", F.size("vector").alias("size")).mapInArrow(
         _postings(shared), "key long, size int, node binary")
     members = _blocked(written(postings, "postings"), block)
-    by_pivots = _in_order(members.join(nodes.select("node", "pivots"), "node"))
-    company = written(by_pivots.mapInArrow(_company(shared), "key long, size int, pair long, side int, node binary"), "company")
+    by_pivots = _in_order(members.join(nodes.select("node", "pivots", "signs"), "node"))
+    company = written(by_pivots.mapInArrow(_company(shared, threshold), "key long, size int, pair long, side int, node binary"), "company")
     whole = _in_order(company.join(nodes.select("node", "pivots", "vector", "weight"), "node"))
     found = written(whole.mapInArrow(_verified(shared, threshold), "a binary, b binary, links long"), "links")
     parts = components(found.select("a", "b"))

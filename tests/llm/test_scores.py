@@ -79,7 +79,8 @@ def test_long_texts_do_not_end_the_sample(spark):
         spark.createDataFrame([(first.doc_id, "word " * 50_000, "aa")], docs.schema))
     sample = toxicity.training_rows(long, labels, words=60_000).collect()
     whole = {r["rank"] for r in learnt.collect()}
-    assert {r["rank"] for r in sample} == whole - {first["rank"]}
+    # Rows without a label only teach the languages.
+    assert {r["rank"] for r in sample if r["toxic"] is not None} == whole - {first["rank"]}
     assert {r.score for r in toxicity.toxicity(long, labels, words=60_000).collect()} != {0.0}
     only = docs.join(learnt.select("doc_id", "toxic"), "doc_id").withColumn(
         "text", F.when(F.col("toxic") == 1, F.repeat(F.lit("word "), 50_000)).otherwise(F.col("text"))).drop("toxic")
