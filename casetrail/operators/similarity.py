@@ -49,13 +49,6 @@ def _prefixes(df: DataFrame, order: Column, bound: Threshold, columns: list[str]
     return out
 
 
-def candidate_pairs(df: DataFrame, bound: Threshold, block: list[str], order: Column) -> int:
-    """How many pairs a self join would have to look at: one cheap aggregation tells beforehand."""
-    keys = ["p_token", *[f"p_b{n}" for n in range(len(block))]]
-    groups = _prefixes(df, order, bound, [], block, "p_").groupBy(*keys).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).first()[0]
-
-
 def similarity_join(left: DataFrame, right: DataFrame, bound: Threshold, left_columns: list[str],
                     right_columns: list[str], block: list[str] = (), order: Column | None = None,
                     condition=None) -> DataFrame:
