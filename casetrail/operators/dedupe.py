@@ -1,9 +1,7 @@
-"""Exactly-once: the first arrival per key, and keys that were applied before."""
+"""The first arrival and the last copy per key. Keys applied before are in `sources.ledger`."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +17,6 @@ def latest_copy(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return first_arrival(df, keys, [c.desc() for c in order])
 
 
-def not_in_ledger(df: DataFrame, ledger: DataFrame, key: str = "event_key") -> DataFrame:
-    """Rows whose key was never applied.
-
-    Ids grow with time within a source, and a key starts with its source, so the batch's key range of each
-    source is pushed into the ledger scan and most files of a long ledger are skipped. The ranges need
-    one pass over the (small) batch; there are as many as sources.
-    """
-    source = F.substring_index(key, ":", 1)
-    ranges = df.groupBy(source.alias("source")).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
-    if not ranges:
-        return df
-    held = reduce(Column.__or__, [F.col(key).between(r["low"], r["high"]) for r in ranges])
-    return df.join(ledger.filter(held).select(key), key, "left_anti")
-
-
 def raw_and_merged_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows against rows left after merging copies."""
     per_key = df.groupBy(*keys).agg(F.count("*").alias("_copies"))

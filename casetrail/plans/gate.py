@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from casetrail.functions.dates import age_on
 from casetrail.functions.text import normalise_name, normalise_phone, title_case
 from casetrail.functions.trigrams import similarity, trigram_codes, trigrams
-from casetrail.operators.dedupe import first_arrival, latest_copy, not_in_ledger, raw_and_merged_counts
+from casetrail.operators.dedupe import first_arrival, latest_copy, raw_and_merged_counts
 from casetrail.operators.reconcile import distinct_dead_letters
 from casetrail.operators.validate import dead_letters, validate
 from casetrail.plans.registry import question
 from casetrail.plans.views_sql import grams, name_norm, pad, phone_norm, sim
-from casetrail.session import cut
+from casetrail.session import cut, scratch
 from casetrail.sources import tables
+from casetrail.sources.ledger import Ledger
 from casetrail.sources.store import without_prefix
 from casetrail.sources.topics import source_of_topic
 from casetrail.streaming.ingest import judge, outcome_table, split_outcomes
@@ -138,7 +139,7 @@ def validate_outcome_counts(spark, folder):
     judged = judge(messages, sources=["transactions"], **BOUNDS).drop("transactions").unionByName(
         judge(messages, sources=["logins"], **bounds).drop("logins"))
     judged = cut(judged.select("source", "offset", "partition", "row", "event_key", "verdict"))
-    fresh, refused = split_outcomes(judged, spark.createDataFrame([], "event_key string"))
+    fresh, refused = split_outcomes(judged, lambda df: df)
     return outcome_table(judged, fresh, refused)
 
 
@@ -176,12 +177,16 @@ def replacing_merge_count(spark, folder):
 SELECT DISTINCT 'orders:' || CAST(l_orderkey AS VARCHAR) AS event_key FROM lineitem
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""", views=False)
 def ledger_antijoin(spark, folder):
-    """Line deliveries against the ledger of finished orders."""
+    """Line deliveries against a stored ledger of finished orders, three versions by date."""
     lines = tables.table(spark, folder, "lineitem").select(
         F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")).alias("event_key")).distinct()
-    ledger = tables.table(spark, folder, "orders").filter("o_orderstatus = 'F'").select(
-        F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("event_key"))
-    return not_in_ledger(lines, ledger)
+    done = tables.table(spark, folder, "orders").filter("o_orderstatus = 'F'").select(
+        "o_orderdate", F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("event_key"))
+    ledger = Ledger(spark, scratch(spark, "ledger"))
+    early, late = F.col("o_orderdate") < "1993-06-01", F.col("o_orderdate") >= "1994-06-01"
+    for version, part in enumerate([early, ~early & ~late, late]):
+        ledger.append(done.filter(part), version)
+    return ledger.unseen(lines, 2)
 
 
 @question(f"SELECT record_id, {phone_norm('phone')} AS phone_e164 FROM kyc")

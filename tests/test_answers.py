@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from casetrail.operators import citations, notes, reconcile, summary
-from casetrail.operators.dedupe import not_in_ledger
 from casetrail.sources.store import without_prefix
 
 NOW = dt.datetime(2026, 9, 1)
@@ -129,9 +128,6 @@ def test_reconcile(spark, tmp_path):
 
 
 def test_small_sinks(spark):
-    keys = spark.createDataFrame([("t:1",), ("t:3",), ("t:9",)], "event_key string")
-    ledger = spark.createDataFrame([("t:0",), ("t:3",), ("u:1",)], "event_key string")
-    assert sorted(r[0] for r in not_in_ledger(keys, ledger).collect()) == ["t:1", "t:9"]
     drill = spark.createDataFrame([("T9000001",), ("T0000001",)], "txn_id string")
     assert [r[0] for r in without_prefix(drill).collect()] == ["T0000001"]
     letters = spark.createDataFrame([("rejected", "kyc", "1"), ("rejected", "kyc", "1"), ("poison", "kyc", None)],
