@@ -18,10 +18,19 @@ from casetrail.functions.trigrams import UNIVERSE, Threshold, similarity, trigra
 
 
 def rarity(*sets: DataFrame) -> Column:
-    """A lookup array: position of every trigram code when sorted rarest first.
+    """A lookup array: position of every trigram code when sorted rarest first, as one foldable literal."""
+    return as_order(rarity_positions(*sets))
+
+
+def as_order(position: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, position))), ",").cast("array<int>")
+
+
+def rarity_positions(*sets: DataFrame) -> list[int]:
+    """Position of every trigram code when sorted rarest first.
 
     Reads at most UNIVERSE (19,683) counts to the driver, whatever the number of names. Any order
-    gives a right join; this one gives short candidate lists. The array is one foldable literal.
+    gives a right join; this one gives short candidate lists.
     """
     codes = reduce(DataFrame.unionAll, [s.select(F.explode("codes").alias("code")) for s in sets])
     counts = {r["code"]: r["n"] for r in codes.groupBy("code").agg(F.count("*").alias("n")).collect()}
@@ -29,7 +38,7 @@ def rarity(*sets: DataFrame) -> Column:
     position = [0] * UNIVERSE
     for at, code in enumerate(order):
         position[code] = at
-    return F.split(F.lit(",".join(map(str, position))), ",").cast("array<int>")
+    return position
 
 
 def with_codes(df: DataFrame, name: str) -> DataFrame:
@@ -62,12 +71,17 @@ def similarity_join(left: DataFrame, right: DataFrame, bound: Threshold, left_co
     order = rarity(left, right) if order is None else order
     a = _prefixes(left, order, bound, left_columns, block, "l_")
     b = _prefixes(right, order, bound, right_columns, block, "r_")
-    size_a, size_b = F.size("l_set"), F.size("r_set")
-    on = (F.col("l_token") == F.col("r_token")) & bound.sizes_fit(size_a, size_b)
+    on = F.lit(True) if condition is None else condition
     for n in range(len(block)):
         on = on & (F.col(f"l_b{n}") == F.col(f"r_b{n}"))
-    if condition is not None:
-        on = on & condition
+    return _verified(a, b, bound, left_columns, right_columns, on)
+
+
+def _verified(a: DataFrame, b: DataFrame, bound: Threshold, left_columns: list[str], right_columns: list[str],
+              condition: Column) -> DataFrame:
+    """Pairs of prefix rows that share a token and reach the bound, once for each pair."""
+    size_a, size_b = F.size("l_set"), F.size("r_set")
+    on = (F.col("l_token") == F.col("r_token")) & bound.sizes_fit(size_a, size_b) & condition
     # One-element array so that the intersection is worked out once for both tests.
     verified = F.exists(
         F.array(F.array_intersect("l_set", "r_set")),
@@ -78,3 +92,19 @@ def similarity_join(left: DataFrame, right: DataFrame, bound: Threshold, left_co
         *[f"l_{c}" for c in left_columns], *[f"r_{c}" for c in right_columns],
         common.alias("common"), (size_a + size_b - common).alias("total"),
         similarity(F.col("l_set"), F.col("r_set")).alias("score"))
+
+
+def postings(df: DataFrame, order: Column, bound: Threshold, columns: list[str]) -> DataFrame:
+    """The inverted index of names: `token` (place in the order), `set` and the named columns, for every prefix trigram.
+
+    `df` carries `codes`. Stored postings can be probed with the same order and any bound not below this one.
+    """
+    return _prefixes(df, order, bound, columns, [], "")
+
+
+def probe(stored: DataFrame, stored_columns: list[str], asked: DataFrame, asked_columns: list[str], order: Column,
+          bound: Threshold, condition: Column | None = None) -> DataFrame:
+    """`similarity_join` with stored postings as its left side."""
+    a = stored.select(*[F.col(c).alias(f"l_{c}") for c in [*stored_columns, "set", "token"]])
+    b = _prefixes(asked, order, bound, asked_columns, [], "r_")
+    return _verified(a, b, bound, stored_columns, asked_columns, F.lit(True) if condition is None else condition)
