@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.functions.ids import node, query_kind
 from casetrail.functions.text import normalise_name, normalise_phone
-from casetrail.functions.trigrams import Threshold
 from casetrail.operators.network import degree
-from casetrail.operators.similarity import rarity, similarity_join, with_codes
+from casetrail.operators.similarity import rarity, top_k_similar, with_codes
+from casetrail.session import cut
 
-ACCOUNT_MATCH = Threshold(3, 10)
-SANCTION_MATCH = Threshold(1, 2)
+ACCOUNT_MATCH, SANCTION_MATCH = 0.3, 0.5
 SANCTION_HITS = 3
 EXACT_HITS = 25
 HIT = ["query", "node_id", "kind", "label", "detail", "score", "evidence_ids"]
@@ -92,21 +93,19 @@ def search_by_name(queries: DataFrame, accounts: DataFrame, sanctions: DataFrame
     compared by the entry's own name only."""
     asked = (queries.filter(query_kind(F.col("query")) == "name")
              .withColumn("_name", normalise_name(F.col("query"))))
-    asked = with_codes(asked, "_name")
+    asked = cut(with_codes(asked, "_name"))
     # Names are matched once each; the accounts and entries that bear them are looked up afterwards.
-    held = with_codes(accounts.select("name_norm").distinct(), "name_norm")
-    listed = with_codes(sanctions.select("name_norm").distinct(), "name_norm")
+    held = cut(with_codes(accounts.select("name_norm").distinct(), "name_norm"))
+    listed = cut(with_codes(sanctions.select("name_norm").distinct(), "name_norm"))
     order = rarity(held, listed)
 
-    def matched(names: DataFrame, bound: Threshold) -> DataFrame:
-        pairs = similarity_join(asked, names, bound, ["query"], ["name_norm"], [], order)
-        return pairs.select(F.col("l_query").alias("query"), F.col("r_name_norm").alias("name_norm"),
-                            F.col("score").alias("_score"))
+    def matched(names: DataFrame, floor: float, k: int) -> DataFrame:
+        return top_k_similar(asked, names, k, floor, "query", "name_norm", order).withColumnRenamed("score", "_score")
 
-    near = matched(held, ACCOUNT_MATCH)
+    near = matched(held, ACCOUNT_MATCH, limit)
     hits = near.join(_first_bearers(accounts, "name_norm", near.select("name_norm"), limit), "name_norm")
     hits = _best(hits, [F.col("_score").desc(), F.col("account_id")], limit)
-    entries = matched(listed, SANCTION_MATCH).join(sanctions, "name_norm")
+    entries = matched(listed, SANCTION_MATCH, SANCTION_HITS).join(sanctions, "name_norm")
     entries = _best(entries, [F.col("_score").desc(), F.col("entry_id")], SANCTION_HITS)
     score = F.round("_score", 3)
     entries = entries.select(
@@ -126,10 +125,17 @@ def search_entities(queries: DataFrame, accounts: DataFrame, sanctions: DataFram
     """Hits of every query text, best first within a query (column `position`)."""
     if not 1 <= limit <= 50:
         raise ValueError("limit must be between 1 and 50")
-    asked = queries.select(F.trim("query").alias("query")).distinct()
-    hits = (search_by_id(asked, accounts, links)
-            .unionByName(search_by_phone(asked, accounts))
-            .unionByName(search_by_name(asked, accounts, sanctions, limit)))
+    asked = cut(queries.select(F.trim("query").alias("query")).distinct())
+    # At most one row for each kind of id; only the kinds that are asked for are planned.
+    kinds = {r["kind"] for r in asked.select(query_kind(F.col("query")).alias("kind")).distinct().collect()}
+    found = []
+    if kinds - {"phone", "name"} or not kinds:
+        found.append(search_by_id(asked, accounts, links))
+    if "phone" in kinds:
+        found.append(search_by_phone(asked, accounts))
+    if "name" in kinds:
+        found.append(search_by_name(asked, accounts, sanctions, limit))
+    hits = reduce(DataFrame.unionByName, found)
     order = [F.col("score").desc(), F.col("_kind_rank"), F.col("_tie")]
     place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
     return hits.withColumn("position", place).select(*HIT, "position")

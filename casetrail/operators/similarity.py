@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.functions.trigrams import UNIVERSE, Threshold, similarity, trigram_codes
+from casetrail.session import cut
 
 
 def rarity(*sets: DataFrame) -> Column:
@@ -108,3 +109,60 @@ def probe(stored: DataFrame, stored_columns: list[str], asked: DataFrame, asked_
     a = stored.select(*[F.col(c).alias(f"l_{c}") for c in [*stored_columns, "set", "token"]])
     b = _prefixes(asked, order, bound, asked_columns, [], "r_")
     return _verified(a, b, bound, stored_columns, asked_columns, F.lit(True) if condition is None else condition)
+
+
+SOON = 0.8        # first look of `top_k_similar`: trigrams two names at least so similar must share
+EDGE = 1e-9       # bounds are rounded down by this much, scores are compared as they are
+
+
+def _placed(df: DataFrame, order: Column, floor: Column, columns: list[str], side: str) -> DataFrame:
+    """One row for each trigram a name of similarity `floor` could be found by, with its place in the ordered set."""
+    ranked = df.filter(F.size("codes") > 0).withColumn("set", F.array_sort(F.transform("codes", lambda c: F.get(order, c))))
+    prefix = F.slice("set", F.lit(1), _reach(F.size("set"), floor))
+    return ranked.select(*[F.col(c).alias(f"{side}{c}") for c in columns], F.col("set").alias(f"{side}set"),
+                         F.size("set").alias(f"{side}size"), F.posexplode(prefix).alias(f"{side}at", f"{side}token"))
+
+
+def _reach(size: Column, bound: Column) -> Column:
+    return (size - F.ceil(size * bound - EDGE) + 1).cast("int")
+
+
+def _candidates(asked: DataFrame, held: DataFrame, near: Column, bound: Column) -> DataFrame:
+    """Rows that share a trigram among the first of both (for a similarity of `near`) and can still reach `bound`
+    by their sizes and by what is left of both sets after the shared place."""
+    a, b = F.col("l_size"), F.col("r_size")
+    left = F.least(a - F.col("l_at"), b - F.col("r_at"))
+    on = ((F.col("l_token") == F.col("r_token")) & (F.col("l_at") < _reach(a, near)) & (F.col("r_at") < _reach(b, near))
+          & (b >= a * bound - EDGE) & (a >= b * bound - EDGE) & (left * (1 + bound) >= (a + b) * bound - EDGE))
+    return asked.join(held, on)
+
+
+def _scored(candidates: DataFrame, asked: str, held: str) -> DataFrame:
+    """Pairs with score, each once: at the smallest trigram both share, which lies in both prefixes."""
+    shared = F.array_intersect("l_set", "r_set")
+    pairs = candidates.select(f"l_{asked}", f"r_{held}", "l_token", shared.alias("shared"),
+                              (F.col("l_size") + F.col("r_size")).alias("both"), *[c for c in ("l_least",) if c in candidates.columns])
+    pairs = pairs.filter(F.get("shared", F.lit(0)) == F.col("l_token"))
+    return pairs.withColumn("score", F.size("shared") / (F.col("both") - F.size("shared")))
+
+
+def top_k_similar(asked: DataFrame, held: DataFrame, k: int, floor: float, query: str, name: str, order: Column,
+                  seen: list[DataFrame] | None = None) -> DataFrame:
+    """query, name, score: of every query all names that are at least `floor` similar and not beaten by k others.
+
+    A first look by few rare trigrams gives every query k names; the k-th of them is its bound from then
+    on, which shortens the prefixes of the second, exact look and prunes by sizes and places (Xiao et al., ICDE 2009).
+    Both inputs carry `codes`; names are distinct. `seen` collects the candidate tables, for measuring.
+    """
+    low = F.lit(floor)
+    names = _placed(held, order, low, [name], "r_")
+    first = _candidates(_placed(asked, order, F.lit(max(floor, SOON)), [query], "l_"), names, F.lit(max(floor, SOON)), low)
+    rank = F.row_number().over(Window.partitionBy(f"l_{query}").orderBy(F.desc("score")))
+    kth = (_scored(first, query, name).filter(F.col("score") >= low).withColumn("rank", rank).filter(F.col("rank") <= k)
+           .filter(F.col("rank") == k).select(F.col(f"l_{query}").alias(query), F.col("score").alias("least")))
+    bounded = cut(asked.join(kth, query, "left").withColumn("least", F.greatest(F.coalesce("least", low), low)))
+    second = _candidates(_placed(bounded, order, F.col("least"), [query, "least"], "l_"), names, F.col("l_least"), F.col("l_least"))
+    if seen is not None:
+        seen += [first, second]
+    return _scored(second, query, name).filter(F.col("score") >= F.col("l_least")).select(
+        F.col(f"l_{query}").alias(query), F.col(f"r_{name}").alias(name), "score")

@@ -180,3 +180,52 @@ def test_screen_dates_and_aliases(spark):
     if near >= 0.8:
         want += [("KYC-1", "S-003", near), ("KYC-2", "S-003", near)]
     assert got == sorted(want)
+
+
+def score(left, right):
+    a, b = ({f"  {w} "[i:i + 3] for w in name.split() for i in range(len(w) + 1)} for name in (left, right))
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+@pytest.mark.parametrize("k, floor", [(1, 0.3), (3, 0.3), (10, 0.5), (4, 0.05)])
+def test_top_k_names_equal_all_pairs(spark, k, floor):
+    rng = random.Random(k)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(25)]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(160)} | {"", "aaaaaa", "aaaaab"})
+    asked = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(30)} | {"", "zzz", "aaaaaa"})
+    order = similarity.rarity(held := similarity.with_codes(spark.createDataFrame([(n,) for n in names], "name string"), "name"))
+    queries = similarity.with_codes(spark.createDataFrame([(n,) for n in asked], "query string"), "query")
+    seen = []
+    got = {}
+    for r in similarity.top_k_similar(queries, held, k, floor, "query", "name", order, seen).collect():
+        got.setdefault(r.query, {})[r.name] = r.score
+    for query in asked:
+        scores = {n: score(query, n) for n in names}
+        best = sorted((s for s in scores.values() if s >= floor), reverse=True)
+        least = best[k - 1] if len(best) >= k else floor
+        # Nothing among the best k is missing, ties included, and nothing is below the floor.
+        assert {n for n, s in scores.items() if s >= least and s > 0} <= set(got.get(query, {}))
+        assert all(abs(scores[n] - s) < 1e-12 and s >= floor for n, s in got.get(query, {}).items())
+    everything = _all_candidates(queries, held, order)
+    assert sum(df.count() for df in seen) <= 2 * everything
+
+
+def _all_candidates(asked, held, order):
+    low = F.lit(0.05)
+    return similarity._candidates(similarity._placed(asked, order, low, ["query"], "l_"),
+                                  similarity._placed(held, order, low, ["name"], "r_"), low, low).count()
+
+
+def test_a_crowd_of_close_names_prunes_the_rest(spark):
+    """Where many names are close to a query, the second look leaves out almost all that share a trigram only."""
+    rng = random.Random(6)
+    names = {f"anna maria van der berg {a}{b}" for a in "abcdefgh" for b in "abcdefgh"}
+    names |= {" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3)) + " berg" for _ in range(900)}
+    held = similarity.with_codes(spark.createDataFrame([(n,) for n in sorted(names)], "name string"), "name")
+    asked = similarity.with_codes(spark.createDataFrame([("anna maria van der berg",)], "query string"), "query")
+    order, seen = similarity.rarity(held), []
+    assert similarity.top_k_similar(asked, held, 10, 0.3, "query", "name", order, seen).count() >= 10
+    plain = similarity._candidates(
+        similarity._placed(asked, order, F.lit(0.3), ["query"], "l_"), similarity._placed(held, order, F.lit(0.3), ["name"], "r_"),
+        F.lit(0.3), F.lit(0.3)).count()
+    assert 2 * sum(df.count() for df in seen) <= plain
