@@ -1,7 +1,7 @@
 """Analyst notes: turn text into vectors, fill in missing vectors, find the nearest notes.
 
 An embedder is any function (texts, kind) -> list of vectors, kind being "document" or "query".
-The built-in one hashes words and 4-grams; it matches shared words, not meaning. Vectors are kept
+Without one, words and 4-grams are hashed, which matches shared words, not meaning. Vectors are kept
 with six decimals.
 """
 
@@ -15,49 +15,65 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from casetrail.functions.vectors import DIM, bucket_and_sign, features
 
 Embedder = Callable[[list[str], str], list[list[float]]]
 MAX_K = 20
 QUERY_BLOCK, VECTOR_BLOCK = 64, 16384
-_CYCLE = 2 ** 15 * 3 * 5 * 7   # every usual vector length divides it
-
-
-@lru_cache(maxsize=1 << 18)
-def _word_places(word: str) -> np.ndarray:
-    """MD5 numbers of a word and its 4-grams as rows (number modulo 2^15 * 3 * 5 * 7, sign bit)."""
-    pieces = [word, word[:4]]
-    while len(pieces) < len(word) - 2:   # the window of four letters moves on by one
-        pieces.append(word[len(pieces) - 1:len(pieces) + 3])
-    numbers = [int.from_bytes(hashlib.md5(piece.encode()).digest(), "big") for piece in pieces]
-    return np.array([(n % _CYCLE, n >> 64 & 1) for n in numbers], dtype=np.int64).reshape(-1, 2)
-
-
-def hash_vectors(texts: list[str], kind: str = "document", dim: int = DIM) -> list[list[float]]:
-    """Signed counts of hashed words and 4-grams, scaled to length 1. Nothing is shuffled: a text
-    is one row, and words repeat, so most hashes come from the worker's cache."""
-    if _CYCLE % dim:
-        raise ValueError(f"dim must divide {_CYCLE}")
-    out = []
-    for text in texts:
-        words = re.findall("[a-z]+", text.lower())
-        counts = np.zeros(dim)
-        if words:
-            places = np.concatenate([_word_places(word) for word in words])
-            counts = np.bincount(places[:, 0] % dim, 2.0 * places[:, 1] - 1, dim)
-        out.append((counts / (np.sqrt(counts @ counts) or 1.0)).tolist())
-    return out
-
-
-def embed(notes: DataFrame, embedder: Embedder = hash_vectors, text: str = "text", batch: int = 32,
+TEXTS_AT_ONCE = 64
+
+
+@lru_cache(maxsize=1 << 20)
+def _place(feature: str, dim: int) -> tuple[int, int]:
+    """Bucket and sign of a feature: its MD5 number modulo dim, and bit 64 of the number."""
+    number = int.from_bytes(hashlib.md5(feature.encode()).digest(), "big")
+    return number % dim, 1 if number >> 64 & 1 else -1
+
+
+def _hashed(rows: pa.Array, dim: int) -> np.ndarray:
+    """Signed counts of the features of each row (a list array), scaled to length 1; rows without features are zero."""
+    rows = rows.cast(pa.large_list(pa.large_string()))
+    coded = rows.flatten().dictionary_encode()
+    places = np.array([_place(f, dim) for f in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+    which = np.asarray(coded.indices, np.int64)
+    row = np.repeat(np.arange(len(rows)), np.asarray(rows.value_lengths().fill_null(0), np.int64))
+    counts = np.bincount(row * dim + places[which, 0], places[which, 1].astype(np.float64), len(rows) * dim).reshape(len(rows), dim)
+    norms = np.sqrt((counts * counts).sum(axis=1))[:, None]
+    return counts / np.where(norms > 0, norms, 1.0)
+
+
+def hashed_vectors(df: DataFrame, text: str, dim: int = DIM) -> DataFrame:
+    """df with `embedding` by the built-in embedder. Spark cuts texts into words and 4-grams; a task hashes each distinct
+    one once and adds up."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(start, TEXTS_AT_ONCE)
+                rows = np.round(_hashed(part.column(len(names)), dim), 6).astype(np.float32)
+                ends = pa.array(np.arange(0, rows.size + 1, dim), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))],
+                                                 [*names, "embedding"])
+
+    cut_up = df.withColumn("_features", features(F.coalesce(F.col(text), F.lit(""))))
+    return cut_up.mapInArrow(run, StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+
+
+def embed(notes: DataFrame, embedder: Embedder | None = None, text: str = "text", batch: int = 32,
           partitions: int | None = None) -> DataFrame:
-    """Adds `embedding`; the embedder is called with `batch` texts at a time.
+    """Adds `embedding`; a given embedder is called with `batch` texts at a time, else words are hashed.
 
     `partitions` deals the texts out first, for inputs of few files.
     """
+    dealt = notes.repartition(partitions) if partitions else notes
+    if embedder is None:
+        return hashed_vectors(dealt, text)
+
     @F.pandas_udf("array<float>")
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
@@ -67,9 +83,7 @@ def embed(notes: DataFrame, embedder: Embedder = hash_vectors, text: str = "text
             yield pd.Series([np.round(np.asarray(v, dtype=np.float64), 6).astype(np.float32) for v in rows])
 
     # Marked so that no filter on the result makes the optimizer compute it a second time.
-    vectors = vectors.asNondeterministic()
-    dealt = notes.repartition(partitions) if partitions else notes
-    return dealt.withColumn("embedding", vectors(F.coalesce(F.col(text), F.lit(""))))
+    return dealt.withColumn("embedding", vectors.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
 
 
 def pending(notes: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -77,7 +91,7 @@ def pending(notes: DataFrame, embedded: DataFrame) -> DataFrame:
     return notes.join(embedded.select("note_id"), "note_id", "left_anti")
 
 
-def embed_pending(notes: DataFrame, embedded: DataFrame, embedder: Embedder = hash_vectors) -> DataFrame:
+def embed_pending(notes: DataFrame, embedded: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """(note_id, embedding) to append to the vector table."""
     return embed(pending(notes, embedded), embedder).select("note_id", "embedding")
 
@@ -151,7 +165,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding:
 
 
 def search_notes(notes: DataFrame, text: str, k: int = 5, account_id: str | None = None,
-                 embedder: Embedder = hash_vectors) -> DataFrame:
+                 embedder: Embedder | None = None) -> DataFrame:
     """The k notes closest to a question; lower distance is closer."""
     if not 3 <= len(text) <= 500:
         raise ValueError("a note question has 3 to 500 characters")
@@ -160,8 +174,13 @@ def search_notes(notes: DataFrame, text: str, k: int = 5, account_id: str | None
     if account_id is not None and not re.fullmatch(r"A\d{6,}", account_id):
         raise ValueError("not an account number: A and six digits or more")
     some = notes if account_id is None else notes.filter(F.col("account_id") == account_id)
-    question = np.round(np.asarray(embedder([text], "query")[0], dtype=np.float64), 6).astype(np.float32)
-    asked = notes.sparkSession.createDataFrame([(text, question.tolist())], "query string, vector array<float>")
+    spark = notes.sparkSession
+    if embedder is None:
+        one = spark.createDataFrame([(text,)], "query string")
+        asked = hashed_vectors(one, "query").withColumnRenamed("embedding", "vector")
+    else:
+        question = np.round(np.asarray(embedder([text], "query")[0], dtype=np.float64), 6).astype(np.float32)
+        asked = spark.createDataFrame([(text, question.tolist())], "query string, vector array<float>")
     near = nearest(some, asked, k, "note_id")
     return near.join(some, "note_id").select(
         "note_id", "account_id", "created_at", "text", F.round("distance", 4).alias("distance"), "rank")

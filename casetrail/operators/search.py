@@ -19,6 +19,7 @@ EXACT_HITS = 25
 HIT = ["query", "node_id", "kind", "label", "detail", "score", "evidence_ids"]
 
 
+# The wording of the details.
 def account_detail() -> Column:
     return F.format_string(
         "owner person:%s | phone %s | %s | opened %s | resolved by %s", "person_id", "phone_e164",

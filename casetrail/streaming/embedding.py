@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from casetrail.operators.notes import Embedder, embed_pending, hash_vectors, pending
+from casetrail.operators.notes import Embedder, embed_pending, pending
 from casetrail.sources.store import Store
 
 
-def fill_embeddings(store: Store, embedder: Embedder = hash_vectors) -> int:
+def fill_embeddings(store: Store, embedder: Embedder | None = None) -> int:
     """Give every committed note without a vector one. Returns how many.
 
     The vectors go to the folder of the last committed version. Until that folder is complete its

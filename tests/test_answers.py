@@ -38,23 +38,29 @@ def test_summary(spark):
             summary.account_summary(spark.createDataFrame(rows, TXN), NOW, **bad)
 
 
-def test_hash_vectors():
-    a, b, c = (np.array(v) for v in notes.hash_vectors([
-        "many small deposits moved out within hours", "small deposits were moved out within a few hours",
-        "customer asked for a new debit card"]))
-    assert len(a) == 768 and abs(a @ a - 1) < 1e-9
+def dense(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    return [np.array(r.embedding, np.float64) for r in notes.embed(df).orderBy("n").collect()]
+
+
+def test_hashed_vectors(spark):
+    a, b, c, none, null = dense(spark, "many small deposits moved out within hours", "small deposits were moved out within a few hours",
+                                "customer asked for a new debit card", "123", None)
+    assert len(a) == 768 and abs(a @ a - 1) < 1e-4
     assert a @ b > a @ c
-    assert not any(notes.hash_vectors(["123"])[0])
+    assert not none.any() and not null.any()
 
 
 def test_sparse_and_dense_hash_agree(spark):
-    text = "Many small deposits, many hours"
-    df = spark.createDataFrame([(1, text)], "n int, text string")
-    sparse = {r.bucket: r.value for r in notes.sparse_hash(df, "n").collect()}
-    dense = np.array(notes.hash_vectors([text])[0])
-    assert set(np.flatnonzero(dense)) == set(sparse)
-    length = np.sqrt(sum(v * v for v in sparse.values()))
-    assert all(abs(dense[b] - v / length) < 1e-12 for b, v in sparse.items())
+    texts = ["Many small deposits, many hours", "a bb ccc dddd eeeee", "Ünïcode wörds too " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    sparse = {}
+    for r in notes.sparse_hash(df, "n").collect():
+        sparse.setdefault(r.n, {})[r.bucket] = r.value
+    for n, vector in enumerate(dense(spark, *texts)):
+        length = np.sqrt(sum(v * v for v in sparse[n].values()))
+        assert set(np.flatnonzero(vector)) <= set(sparse[n])
+        assert all(abs(vector[b] - v / length) < 1e-6 for b, v in sparse[n].items())
 
 
 def test_note_search_and_pending(spark):
