@@ -107,7 +107,7 @@ def sparse_hash(notes: DataFrame, key: str, text: str = "text", dim: int = DIM)
             .groupBy(key, "bucket").agg(F.sum("sign").alias("value")).filter("value <> 0"))
 
 
-def _closest(batch: pa.RecordBatch, asked: list[tuple[str, np.ndarray]], k: int) -> tuple[list, list, list]:
+def closest(batch: pa.RecordBatch, asked: list[tuple[str, np.ndarray]], k: int) -> tuple[list, list, list]:
     """(queries, keys, distances) of a batch's k closest rows, ties at the k-th included."""
     batch = batch.filter(batch.column(1).is_valid())
     found: tuple[list, list, list] = ([], [], [])
@@ -153,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding:
         named = [(r["query"], np.asarray(r["vector"], dtype=np.float64)) for r in left.to_pylist()]
         found: tuple[list, list, list] = ([], [], [])
         for batch in right.select(["key", "row"]).to_batches():
-            for have, more in zip(found, _closest(batch, named, k)):
+            for have, more in zip(found, closest(batch, named, k)):
                 have.extend(more)
         return pa.table({"query": pa.array(found[0], pa.string()), key: pa.array(found[1], right.schema.field("key").type),
                          "distance": pa.array(found[2], pa.float64())})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casetrail.functions.vectors import cosine_distance, vector_text
-from casetrail.operators import citations, notes
+from casetrail.operators import citations, notes, vector_index
 from casetrail.plans.registry import question
 from casetrail.sources import tables
 
@@ -88,11 +88,11 @@ SELECT query, vec_id, round(distance, 4) AS distance,
        row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank
 FROM away QUALIFY rank <= {K}""", views=False)
 def vector_knn(spark, folder):
-    """For the first vector of every label: its nearest vectors."""
+    """For the first vector of every label: its nearest vectors, by the index."""
     vectors = tables.table(spark, folder, "embeddings")
     first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
     asked = first.select(F.col("label").cast("string").alias("query"), F.col("e").alias("vector"))
-    near = notes.nearest(vectors, asked, K, "vec_id")
+    near = vector_index.search_index(vector_index.build_index(vectors, "vec_id"), asked, K)
     return near.select("query", "vec_id", F.round("distance", 4).alias("distance"),
                        F.col("rank").cast("bigint").alias("rank"))
 
