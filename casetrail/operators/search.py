@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casetrail.functions.ids import node, query_kind
 from casetrail.functions.text import normalise_name, normalise_phone
 from casetrail.operators.network import degree
-from casetrail.operators.similarity import rarity, top_k_similar, with_codes
+from casetrail.operators.similarity import rarity, top_k_similar, with_codes, with_sets
 from casetrail.session import cut
 
 ACCOUNT_MATCH, SANCTION_MATCH = 0.3, 0.5
@@ -94,14 +94,15 @@ def search_by_name(queries: DataFrame, accounts: DataFrame, sanctions: DataFrame
     compared by the entry's own name only."""
     asked = (queries.filter(query_kind(F.col("query")) == "name")
              .withColumn("_name", normalise_name(F.col("query"))))
-    asked = cut(with_codes(asked, "_name"))
     # Names are matched once each; the accounts and entries that bear them are looked up afterwards.
-    held = cut(with_codes(accounts.select("name_norm").distinct(), "name_norm"))
-    listed = cut(with_codes(sanctions.select("name_norm").distinct(), "name_norm"))
+    held = with_codes(accounts.select("name_norm").distinct(), "name_norm")
+    listed = with_codes(sanctions.select("name_norm").distinct(), "name_norm")
     order = rarity(held, listed)
+    asked = with_sets(with_codes(asked, "_name"), order)
+    held, listed = with_sets(held, order), with_sets(listed, order)
 
     def matched(names: DataFrame, floor: float, k: int) -> DataFrame:
-        return top_k_similar(asked, names, k, floor, "query", "name_norm", order).withColumnRenamed("score", "_score")
+        return top_k_similar(asked, names, k, floor, "query", "name_norm").withColumnRenamed("score", "_score")
 
     near = matched(held, ACCOUNT_MATCH, limit)
     hits = near.join(_first_bearers(accounts, "name_norm", near.select("name_norm"), limit), "name_norm")

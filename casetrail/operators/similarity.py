@@ -115,11 +115,15 @@ SOON = 0.8        # first look of `top_k_similar`: trigrams two names at least s
 EDGE = 1e-9       # bounds are rounded down by this much, scores are compared as they are
 
 
-def _placed(df: DataFrame, order: Column, floor: Column, columns: list[str], side: str) -> DataFrame:
+def with_sets(df: DataFrame, order: Column) -> DataFrame:
+    """df with `set`, the places of its `codes` in the order; written down, so that the long order is in one small plan only."""
+    return cut(df.withColumn("set", F.array_sort(F.transform("codes", lambda c: F.get(order, c)))).drop("codes"))
+
+
+def _placed(df: DataFrame, floor: Column, columns: list[str], side: str) -> DataFrame:
     """One row for each trigram a name of similarity `floor` could be found by, with its place in the ordered set."""
-    ranked = df.filter(F.size("codes") > 0).withColumn("set", F.array_sort(F.transform("codes", lambda c: F.get(order, c))))
     prefix = F.slice("set", F.lit(1), _reach(F.size("set"), floor))
-    return ranked.select(*[F.col(c).alias(f"{side}{c}") for c in columns], F.col("set").alias(f"{side}set"),
+    return df.filter(F.size("set") > 0).select(*[F.col(c).alias(f"{side}{c}") for c in columns], F.col("set").alias(f"{side}set"),
                          F.size("set").alias(f"{side}size"), F.posexplode(prefix).alias(f"{side}at", f"{side}token"))
 
 
@@ -146,22 +150,22 @@ def _scored(candidates: DataFrame, asked: str, held: str) -> DataFrame:
     return pairs.withColumn("score", F.size("shared") / (F.col("both") - F.size("shared")))
 
 
-def top_k_similar(asked: DataFrame, held: DataFrame, k: int, floor: float, query: str, name: str, order: Column,
+def top_k_similar(asked: DataFrame, held: DataFrame, k: int, floor: float, query: str, name: str,
                   seen: list[DataFrame] | None = None) -> DataFrame:
     """query, name, score: of every query all names that are at least `floor` similar and not beaten by k others.
 
     A first look by few rare trigrams gives every query k names; the k-th of them is its bound from then
     on, which shortens the prefixes of the second, exact look and prunes by sizes and places (Xiao et al., ICDE 2009).
-    Both inputs carry `codes`; names are distinct. `seen` collects the candidate tables, for measuring.
+    Both inputs carry `set` (`with_sets`, one order); names are distinct. `seen` collects the candidate tables, for measuring.
     """
     low = F.lit(floor)
-    names = _placed(held, order, low, [name], "r_")
-    first = _candidates(_placed(asked, order, F.lit(max(floor, SOON)), [query], "l_"), names, F.lit(max(floor, SOON)), low)
+    names = _placed(held, low, [name], "r_")
+    first = _candidates(_placed(asked, F.lit(max(floor, SOON)), [query], "l_"), names, F.lit(max(floor, SOON)), low)
     rank = F.row_number().over(Window.partitionBy(f"l_{query}").orderBy(F.desc("score")))
     kth = (_scored(first, query, name).filter(F.col("score") >= low).withColumn("rank", rank).filter(F.col("rank") <= k)
            .filter(F.col("rank") == k).select(F.col(f"l_{query}").alias(query), F.col("score").alias("least")))
     bounded = cut(asked.join(kth, query, "left").withColumn("least", F.greatest(F.coalesce("least", low), low)))
-    second = _candidates(_placed(bounded, order, F.col("least"), [query, "least"], "l_"), names, F.col("l_least"), F.col("l_least"))
+    second = _candidates(_placed(bounded, F.col("least"), [query, "least"], "l_"), names, F.col("l_least"), F.col("l_least"))
     if seen is not None:
         seen += [first, second]
     return _scored(second, query, name).filter(F.col("score") >= F.col("l_least")).select(

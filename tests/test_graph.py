@@ -195,9 +195,10 @@ def test_top_k_names_equal_all_pairs(spark, k, floor):
     asked = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(30)} | {"", "zzz", "aaaaaa"})
     order = similarity.rarity(held := similarity.with_codes(spark.createDataFrame([(n,) for n in names], "name string"), "name"))
     queries = similarity.with_codes(spark.createDataFrame([(n,) for n in asked], "query string"), "query")
+    queries, held = similarity.with_sets(queries, order), similarity.with_sets(held, order)
     seen = []
     got = {}
-    for r in similarity.top_k_similar(queries, held, k, floor, "query", "name", order, seen).collect():
+    for r in similarity.top_k_similar(queries, held, k, floor, "query", "name", seen).collect():
         got.setdefault(r.query, {})[r.name] = r.score
     for query in asked:
         scores = {n: score(query, n) for n in names}
@@ -206,14 +207,14 @@ def test_top_k_names_equal_all_pairs(spark, k, floor):
         # Nothing among the best k is missing, ties included, and nothing is below the floor.
         assert {n for n, s in scores.items() if s >= least and s > 0} <= set(got.get(query, {}))
         assert all(abs(scores[n] - s) < 1e-12 and s >= floor for n, s in got.get(query, {}).items())
-    everything = _all_candidates(queries, held, order)
+    everything = _all_candidates(queries, held)
     assert sum(df.count() for df in seen) <= 2 * everything
 
 
-def _all_candidates(asked, held, order):
+def _all_candidates(asked, held):
     low = F.lit(0.05)
-    return similarity._candidates(similarity._placed(asked, order, low, ["query"], "l_"),
-                                  similarity._placed(held, order, low, ["name"], "r_"), low, low).count()
+    return similarity._candidates(similarity._placed(asked, low, ["query"], "l_"),
+                                  similarity._placed(held, low, ["name"], "r_"), low, low).count()
 
 
 def test_a_crowd_of_close_names_prunes_the_rest(spark):
@@ -224,8 +225,9 @@ def test_a_crowd_of_close_names_prunes_the_rest(spark):
     held = similarity.with_codes(spark.createDataFrame([(n,) for n in sorted(names)], "name string"), "name")
     asked = similarity.with_codes(spark.createDataFrame([("anna maria van der berg",)], "query string"), "query")
     order, seen = similarity.rarity(held), []
-    assert similarity.top_k_similar(asked, held, 10, 0.3, "query", "name", order, seen).count() >= 10
+    asked, held = similarity.with_sets(asked, order), similarity.with_sets(held, order)
+    assert similarity.top_k_similar(asked, held, 10, 0.3, "query", "name", seen).count() >= 10
     plain = similarity._candidates(
-        similarity._placed(asked, order, F.lit(0.3), ["query"], "l_"), similarity._placed(held, order, F.lit(0.3), ["name"], "r_"),
+        similarity._placed(asked, F.lit(0.3), ["query"], "l_"), similarity._placed(held, F.lit(0.3), ["name"], "r_"),
         F.lit(0.3), F.lit(0.3)).count()
     assert 2 * sum(df.count() for df in seen) <= plain
