@@ -12,6 +12,7 @@ are the closing id alone. Repeated rows are packed as documents of their own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +28,15 @@ LENGTH = 1024
 GROUP = 4096
 CLOSING = 0
 MARK = "<|endoftext|>"
+LONG_BLANK = 100_000
 
 
 def encoder(json_path: str, ranks_path: str):
     """text -> ids as the tokenizer of json_path gives them, without special tokens added.
 
     ranks_path holds the same vocabulary for the faster library. A text with the special token's own
-    string goes to the first library, whose way of reading it is the one that counts.
+    string goes to the first library, whose way of reading it is the one that counts. So does a text with a run
+    of LONG_BLANK white-space characters: the faster one's pattern matcher overflows on a run of about a million.
     """
     import base64
 
@@ -45,9 +48,10 @@ def encoder(json_path: str, ranks_path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     exact: list[Tokenizer] = []
+    blanks = re.compile(rf"\s{{{LONG_BLANK}}}")
 
     def encode(text: str) -> list[int]:
-        if MARK not in text:
+        if MARK not in text and not (len(text) >= LONG_BLANK and blanks.search(text)):
             return fast.encode_ordinary(text)
         if not exact:
             exact.append(Tokenizer.from_file(json_path))
