@@ -5,13 +5,16 @@ would separate nothing. Regions are therefore formed in two steps.
 
 1. Every set looks for pivots through its rarest shingles. Two sets that reach the threshold share one of
    their first size - ceil(t * size) + 1 shingles in any common order (here by hash, common ones last).
-   All sets that share such a shingle belong to the region of one pivot, the set of highest priority among
-   them (the least digest); since priorities are global, most shingles of a group of copies choose the
-   same pivot. A set is replicated to the regions of all its pivots.
-2. A set keeps its place in a region only if some other set there can reach the threshold, by sizes and by
-   the counts of shingles in 512 fixed classes: the L1 distance of the counts is never more
-   than the symmetric difference. Regions fall apart into the parts that hang together by this test, and parts
-   that share a set become one region.
+   Most such meetings are chance. A shingle of two sets counts only if their sizes and its places in
+   both allow the threshold (what comes after a first common shingle bounds the overlap); at a shingle of more sets,
+   those of like size (windows of two neighbouring size classes) meet, if one of them holds it early enough to be the
+   smaller of a linked pair. All that meet so belong to the region of one pivot, the set of highest
+   priority among them (the least digest); since priorities are global, most shingles of a group of copies
+   choose the same pivot. A set is replicated to the regions of all its pivots.
+2. Only sets left by this are read again, for their texts and counts of shingles in 512 fixed classes. A set keeps its
+   place in a region only if some other set there can reach the threshold by sizes and counts: the L1
+   distance of the counts is never more than the symmetric difference. Regions fall apart into the parts that hang
+   together by this test, and parts that share a set become one region.
 3. Regions too large for one task are divided again around a pivot of their own: rings of the
    threshold's width by exact distance to it. By the triangle inequality linked sets lie in one ring or in
    neighbouring rings, so each ring is joined with the next one. This is repeated to a fixed depth; what is
@@ -29,19 +32,20 @@ each row keeps its own set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bloom import build, holds
 from llm.common import written
 from llm.components import components
-from llm.sketch import cell, counts
+from llm.sketch import cell, common_cells
 from llm.words import Words, mix, sequence_hash, slices
 
 CLASSES = 512
@@ -85,22 +89,28 @@ def digests(found: np.ndarray) -> tuple[int, int]:
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *digests(s), class_counts(s).tobytes())
-                     for s in shingle_sets(batch.column("text"), width)]
-            n, one, two, counts = zip(*found, strict=True) if found else ((), (), (), ())
+            found = [(len(s), *digests(s)) for s in shingle_sets(batch.column("text"), width)]
+            n, one, two = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-                                   pa.array(two, pa.int64()), pa.array(counts, pa.binary())],
-                                  ["doc_id", "n_shingles", "node", "two", "counts"])
+                                   pa.array(two, pa.int64())], ["doc_id", "n_shingles", "node", "two"])
     return run
 
 
-def prefix(found: np.ndarray, want: int, late: np.ndarray | None) -> np.ndarray:
+def rarity(tokens: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for tokens of ordinary cells, the cell's count for tokens of crowded ones."""
+    cells, counts = late
+    if not len(cells):
+        return np.zeros(len(tokens), np.uint32)
+    mine = cell(tokens)
+    at = np.minimum(np.searchsorted(cells, mine), len(cells) - 1)
+    return np.where(cells[at] == mine, counts[at], 0)
+
+
+def prefix(found: np.ndarray, want: int, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first `want` shingles by hash, those of crowded cells at the end, the fullest cell last."""
-    first = found[:want].copy()  # a view would keep the whole set in memory
-    if late is None or not late[cell(first)].any():
-        return first
-    rank = late[cell(found)]
-    order = np.lexsort((found, rank))
+    if not rarity(found[:want], late).any():
+        return found[:want].copy()  # a view would keep the whole set in memory
+    order = np.lexsort((found, rarity(found, late)))
     return found[order[:want]]
 
 
@@ -113,30 +123,29 @@ def _prefix_tokens(width: int, num: int, den: int):
 
 
 def _prefixes(width: int, num: int, den: int, late):
-    """(node, token) of the first shingles of each set; copies in a task count once."""
+    """(node, token, spot) of the first shingles of each set; copies in a task count once. spot: size << 32 | place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ranks = set(), np.frombuffer(late.value, np.uint32)
+        seen, crowd = set(), late.value
         for batch in batches:
-            nodes, out = [], []
+            nodes, out, spots = [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 node = digests(s)[0]
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                first = prefix(s, prefix_length(len(s), num, den), ranks)
+                first = prefix(s, prefix_length(len(s), num, den), crowd)
                 out.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
+                spots.append((np.int64(len(s)) << 32) + np.arange(len(first)))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(out).view(np.int64))],
-                                      ["node", "token"])
+                yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(out).view(np.int64)),
+                                       pa.array(np.concatenate(spots))], ["node", "token", "spot"])
     return run
 
 
-def crowded(docs: DataFrame, width: int, num: int, den: int) -> bytes:
-    """For each cell of the sketch its count if far above the mean, else 0: an order of shingles by how common they are."""
-    table = counts(docs.select("text"), _prefix_tokens(width, num, den))
-    least = 2 * table.mean() + CROWD
-    return np.where(table >= least, np.minimum(table, 2 ** 32 - 1), 0).astype(np.uint32).tobytes()
+def crowded(docs: DataFrame, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the sketch far above the mean, sorted, and their counts: an order of shingles by how common they are."""
+    return common_cells(docs.select("text"), _prefix_tokens(width, num, den), 2, CROWD)
 
 
 def blocked(members: DataFrame, block: int, weight: str | None = None, most: int = 0) -> DataFrame:
@@ -290,20 +299,24 @@ def _rings(width: int, num: int, den: int):
 
 
 def _wanted_texts(width: int, wanted):
-    """Compressed texts, smaller than their sets, of documents whose id passes the filter; copies once a task."""
+    """Class counts and compressed texts, smaller than their sets, of rows whose id passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bits = wanted.value
         packed, seen = np.frombuffer(data, np.uint8), set()
         for batch in batches:
             some = batch.filter(pa.array(holds(packed, bits, batch.column("doc_id").to_numpy())))
-            nodes, texts = [], []
-            for text, s in zip(some.column("text"), shingle_sets(some.column("text"), width), strict=True):
+            ids, nodes, counts, texts = [], [], [], []
+            for doc, text, s in zip(some.column("doc_id").to_pylist(), some.column("text"),
+                                    shingle_sets(some.column("text"), width), strict=True):
                 node = digests(s)[0]
-                if len(s) and node not in seen:
-                    seen.add(node)
+                if len(s) and (doc, node) not in seen:
+                    seen.add((doc, node))
+                    ids.append(doc)
                     nodes.append(node)
+                    counts.append(class_counts(s).tobytes())
                     texts.append(zstandard.compress(text.as_py().encode("utf-8", "surrogatepass"), 3))
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], ["node", "packed"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()),
+                                   pa.array(texts, pa.binary())], ["rep", "node", "counts", "packed"])
     return run
 
 
@@ -316,14 +329,55 @@ def _sorted_groups(df: DataFrame) -> DataFrame:
     return df.repartition("region", "pair").sortWithinPartitions("region", "pair")
 
 
-def regions(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """region, node, n_shingles: sets that can have a link, in the regions of their pivots."""
-    late = docs.sparkSession.sparkContext.broadcast(crowded(docs, width, num, den))
-    held = written(docs.select("text").mapInArrow(_prefixes(width, num, den, late), "node long, token long"), "prefixes")
-    pivots = written(held.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                     .filter("low < high").select("token", F.col("low").alias("region")), "pivots")
-    members = held.join(pivots, "token").select("region", "node").distinct()
-    members = written(members.join(nodes.select("node", "n_shingles", "counts"), "node"), "members")
+def _of_tokens(wanted):
+    """Rows whose token passes the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, bits = wanted.value
+        packed = np.frombuffer(data, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(holds(packed, bits, batch.column("token").to_numpy())))
+    return run
+
+
+def _reach(low: str, high: str, num: int, den: int) -> Column:
+    """Whether two sets, by their spots at a common shingle, can reach the threshold with no earlier one in common."""
+    sizes = [F.shiftright(x, 32) for x in (low, high)]
+    left = F.least(*(n - F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)) for n, x in zip(sizes, (low, high), strict=True)))
+    return (F.greatest(*sizes) * num <= F.least(*sizes) * den) & (left * (den + num) >= (sizes[0] + sizes[1]) * num)
+
+
+def meetings(held: DataFrame, num: int, den: int) -> DataFrame:
+    """region, node: sets that can have a link by their sizes and by the places of a common shingle."""
+    shared = written(held.groupBy("token").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.min("spot").alias("from"), F.max("spot").alias("to"),
+        F.count("*").alias("n")).filter("low < high"), "shared")
+    two = shared.filter(F.col("n") == 2).filter(_reach("from", "to", num, den)).select(
+        F.col("low").alias("region"), F.explode(F.array("low", "high")).alias("node"))
+    more = shared.filter("n > 2").select("token")
+    count = more.count()
+    if not count:
+        return written(two.distinct(), "members")
+    wanted = held.sparkSession.sparkContext.broadcast(build(more, count))
+    size, place = F.shiftright("spot", 32), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = written(held.mapInArrow(_of_tokens(wanted), held.schema).join(more, "token").distinct(), "crowds")
+    wanted.destroy()
+    # Linked sizes differ by a factor of den / num at most: by one size class, a little wider than that, at most.
+    step = math.log(den / num) * 1.001 if den > num else 1.0
+    band = F.floor(F.log(size.cast("double")) / step)
+    early = (size - place) * (den + num) >= 2 * num * size
+    rows = rows.select("token", "node", size.alias("size"), early.alias("early"),
+                       F.explode(F.array(band, band - 1)).alias("band"))
+    firsts = written(rows.groupBy("token", "band").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("early"), F.col("size"))).alias("least"))
+        .filter("low < high AND least IS NOT NULL"), "firsts")
+    many = rows.join(firsts, ["token", "band"]).filter("size >= least").select(F.col("low").alias("region"), "node")
+    return written(two.unionAll(many).distinct(), "members")
+
+
+def regions(members: DataFrame, wanted: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """region, node, n_shingles: members that another member of the region can reach by sizes and class counts."""
+    known = wanted.join(texts.select("rep", "node", "counts"), ["rep", "node"]).select("node", "n_shingles", "counts")
+    members = members.join(known, "node")
     near = _sorted_groups(blocked(members, BLOCK)).select("region", "pair", "side", "node", "n_shingles", "counts")
     return written(near.mapInArrow(_near(num, den), "region long, node long, n_shingles long").distinct(), "near")
 
@@ -338,11 +392,20 @@ def merged(members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, block: int = BLOCK,
           depth: int = DEPTH) -> DataFrame:
     """a, b: links between different sets, enough to connect everything that is connected."""
-    members = regions(docs, nodes, width, num, den)
-    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "rep"), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), wanted.count()))
+    context = docs.sparkSession.sparkContext
+    late = context.broadcast(crowded(docs, width, num, den))
+    held = written(docs.select("text").mapInArrow(_prefixes(width, num, den, late), "node long, token long, spot long"),
+                   "prefixes")
+    late.destroy()
+    members = meetings(held, num, den)
+    wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "n_shingles", "rep"), "wanted")
+    shared = context.broadcast(build(wanted.select("rep"), wanted.count()))
     texts = written(docs.select("doc_id", "text").mapInArrow(
-        _wanted_texts(width, shared), "node long, packed binary"), "texts")
+        _wanted_texts(width, shared), "rep long, node long, counts binary, packed binary"), "texts")
+    shared.destroy()
+    members = regions(members, wanted, texts, num, den)
+    own = wanted.join(members.select("node").distinct(), "node").select("rep", "node")
+    texts = written(texts.select("rep", "node", "packed").join(own, ["rep", "node"]).select("node", "packed"), "own-texts")
     members = merged(members)
     found = []
     for level in range(depth):
@@ -374,11 +437,11 @@ def labelled_sets(docs: DataFrame, width: int, num: int, den: int, block: int =
                   depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """Sets of rows (doc_id, n_shingles, node), and for each node its class and the least doc_id of it, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, two long, counts binary"),
+    sets = written(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, two long"),
                    "shingle-sets")
     usable = docs.filter("doc_id IS NOT NULL")
     nodes = written(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "two", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.first("counts").alias("counts")).drop("two"), "nodes")
+        F.min("doc_id").alias("rep")).drop("two"), "nodes")
     parts = components(links(usable, nodes, width, num, den, block, depth))
     joined = written(nodes.select("node", "rep").join(parts, "node"), "joined")
     least = written(joined.groupBy("component").agg(F.min("rep").alias("least")), "least")

@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from llm.common import written
 
 CELLS, SEGMENTS = 1 << 22, 64
 SPAN = CELLS // SEGMENTS
@@ -50,11 +53,45 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["segment", "data"])
 
 
+def _merged(df: DataFrame, tokens_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    return df.mapInArrow(_partial(tokens_of), "segment int, data binary").repartition(SEGMENTS, "segment").mapInArrow(
+        _merge, "segment int, data binary")
+
+
 def counts(df: DataFrame, tokens_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """CELLS counts of the tokens that tokens_of gives for the batches of df."""
-    parts = df.mapInArrow(_partial(tokens_of), "segment int, data binary").repartition(SEGMENTS, "segment").mapInArrow(
-        _merge, "segment int, data binary")
     out = np.zeros(CELLS, np.uint64)
-    for row in parts.collect():  # 8 bytes a cell
+    for row in _merged(df, tokens_of).collect():  # 8 bytes a cell
         out[row["segment"] * SPAN:(row["segment"] + 1) * SPAN] = np.frombuffer(row["data"], np.uint64)
     return out
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total = sum(int(np.frombuffer(data, np.uint64).sum()) for data in batch.column("data").to_pylist())
+        yield pa.record_batch([pa.array([total], pa.int64())], ["total"])
+
+
+def _above(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column("segment").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                part = np.frombuffer(data, np.uint64)
+                at = np.flatnonzero(part >= least)
+                yield pa.record_batch([pa.array((at + k * SPAN).astype(np.int64)), pa.array(
+                    np.minimum(part[at], 2 ** 32 - 1).astype(np.int64))], ["cell", "n"])
+    return run
+
+
+def common_cells(df: DataFrame, tokens_of: Callable[[pa.RecordBatch], np.ndarray], times: int,
+                 extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, sorted, of at least `times` the mean count and `extra`, and their counts.
+
+    Only these come to the driver: fewer than CELLS / times.
+    """
+    table = written(_merged(df, tokens_of), "sketch")
+    total = table.select("data").mapInArrow(_sums, "total long").agg(F.sum("total")).first()[0] or 0
+    found = table.mapInArrow(_above(times * total / CELLS + extra), "cell long, n long").toArrow()
+    cells, n = (found.column(c).to_numpy() for c in ("cell", "n"))
+    order = np.argsort(cells)
+    return cells[order], n[order].astype(np.uint32)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,34 @@ def test_packing(docs, rows):
         assert at <= 64
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "\t" * 2_000_000 + "x", "\u00a0 \n" * 700_000,
+                                  "letters" * 150_000], ids=["blanks", "newlines", "tabs", "mixed", "word"])
+def test_very_long_runs(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(tokenizer_files()[0]).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(*tokenizer_files())(text) == want
+
+
+def test_chance_meetings_do_not_move(spark):
+    """Of unrelated texts that share a rare shingle in twos, less than a third goes on; every planted pair does."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, rng.integers(60, 300))) + f" some phrase {i % 200}"
+             for i in range(400)]
+    texts += [t + " more" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    late = spark.sparkContext.broadcast(jaccard_join.crowded(docs, 3, 90, 100))
+    held = docs.select("text").mapInArrow(jaccard_join._prefixes(3, 90, 100, late), "node long, token long, spot long")
+    shared = held.groupBy("token").agg(F.count_distinct("node").alias("n")).filter("n > 1").select("token")
+    met = held.join(shared, "token").select("node").distinct().count()
+    got = jaccard_join.meetings(held, 90, 100)
+    pairs = {tuple(sorted(jaccard_join.digests(s)[0] for s in jaccard_join.shingle_sets(pa.array([a, a + " more"]), 3)))
+             for a in texts[:10]}
+    nodes = {r.node for r in got.select("node").distinct().collect()}
+    assert {x for p in pairs for x in p} <= nodes
+    assert len(nodes) - 20 < (met - 20) / 3, (len(nodes), met)
+
+
 def test_special_token_text():
     encode = packing.encoder(*tokenizer_files())
     assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
