@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from casetrail.operators import citations, notes, reconcile, summary
 from casetrail.sources.store import without_prefix
@@ -38,6 +40,31 @@ def test_summary(spark):
             summary.account_summary(spark.createDataFrame(rows, TXN), NOW, **bad)
 
 
+def same_answers(got, want):
+    rows = [sorted((tuple(r) for r in x.collect()), key=str) for x in (got, want)]
+    assert rows[0] == rows[1] and rows[1]
+
+
+@pytest.mark.parametrize(("now", "days"), [(NOW, 31), (NOW, 45), (NOW + dt.timedelta(days=3, hours=5), 400), (NOW, 3650)])
+def test_summary_from_state(spark, now, days):
+    """Three parts of the transfers, folded apart and merged or not, answer as all transfers do; ties, own accounts, edges."""
+    rng = np.random.default_rng(5)
+    rows = [(f"T{i:07d}", NOW - dt.timedelta(hours=int(rng.integers(0, 24 * 500))), f"A{rng.integers(1, 7):06d}",
+             f"A{rng.integers(1, 7):06d}", Decimal(int(rng.integers(1, 40))), "app", "") for i in range(600)]
+    rows += [(f"T{i:07d}", NOW - dt.timedelta(days=d), "A000001", "A000002", Decimal("7.25"), "app", "")
+             for i, d in enumerate((31, 45, 62, 400, 3650, 0), 900)]
+    txns = spark.createDataFrame(rows, TXN)
+    parts = [txns.filter(f"pmod(xxhash64(txn_id), 3) = {k}") for k in range(3)]
+    state, largest = (reduce(DataFrame.unionByName, map(fold, parts)) for fold in (summary.monthly, summary.monthly_top))
+    want = summary.account_summary(txns, now, days)
+    same_answers(summary.stored_summary(state, largest, txns, now, days), want)
+    state, largest = summary.merge_monthly(state), summary.merge_monthly_top(largest)
+    assert state.count() == state.select("from_account", "to_account", "month").distinct().count()
+    same_answers(summary.stored_summary(state, largest, txns, now, days), want)
+    some = ["A000001", "A000099"]
+    same_answers(summary.stored_summary(state, largest, txns, now, days, some), summary.account_summary(txns, now, days, some))
+
+
 def dense(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
     return [np.array(r.embedding, np.float64) for r in notes.embed(df).orderBy("n").collect()]
