@@ -22,3 +22,17 @@ def raw_and_merged_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     per_key = df.groupBy(*keys).agg(F.count("*").alias("_copies"))
     return per_key.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_stored"),
                        F.count("*").alias("rows_distinct"))
+
+
+def drop_copies_within(messages: DataFrame, bound: str, arrived: Column | None = None) -> DataFrame:
+    """A stream without exact copies of a message that come within `bound` ("2 hours") of the first one.
+
+    Same source, key and value make a copy, so a damaged first delivery never hides a good second one. The state
+    store holds a digest per message until the watermark of `arrived` has passed its bound; later copies go through, for
+    the ledger or the replacing merge to find. `arrived` is when the message reached the topic; one that
+    lags behind the newest by more than `bound` would be dropped as late, so an event's own time must not be
+    used, nor a time before 1970-01-01 00:00:01. Without `arrived` it is the micro-batch's time, which never lags. Messages are shuffled once.
+    """
+    at = F.current_timestamp() if arrived is None else arrived
+    marked = messages.withColumns({"_at": at, "_digest": F.sha2("value", 256)}).withWatermark("_at", bound)
+    return marked.dropDuplicatesWithinWatermark(["source", "key", "_digest"]).drop("_at", "_digest")

@@ -2,19 +2,19 @@
 
 It has its own checkpoint. Each batch overwrites its own folder, nothing is shuffled on the way in,
 and the table is read through a replacing merge on (to_account, ts, txn_id), so repeated copies
-are seen once.
+are seen once. With `within`, copies that come soon after the first are not even stored; this keeps state and is off by default.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from casetrail.functions.dates import utc_now
-from casetrail.operators.dedupe import latest_copy
+from casetrail.operators.dedupe import drop_copies_within, latest_copy
 from casetrail.operators.validate import validate
 from casetrail.schemas import TRANSACTIONS
 
@@ -28,9 +28,12 @@ def fact_rows(judged: DataFrame) -> DataFrame:
 
 
 def run_facts(messages: DataFrame, path: str, checkpoint: str, now: datetime | None = None,
-              trigger: dict | None = None, **bounds) -> StreamingQuery:
-    """Counts arrive as the observed metrics `inserted` and `skipped_invalid` of `facts`."""
+              trigger: dict | None = None, within: str | None = None, arrived: Column | None = None, **bounds) -> StreamingQuery:
+    """Counts arrive as the observed metrics `inserted` and `skipped_invalid` of `facts`. `within`, `arrived`: see
+    `drop_copies_within`."""
     transfers = messages.filter(F.col("source") == "transactions")
+    if within is not None:
+        transfers = drop_copies_within(transfers, within, arrived)
 
     def step(batch_df: DataFrame, batch: int) -> None:
         judged = validate(batch_df, "transactions", now or utc_now(), **bounds)

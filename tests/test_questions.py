@@ -11,7 +11,8 @@ from casetrail.plans import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"stream_ingest_links", "stream_ingest_outcomes", "stream_stored_evidence", "resolve_rule_counts", "stream_whole_links",
-        "stream_persons", "stream_restart_outcomes", "stream_live_counters", "stream_account_summary"}
+        "stream_persons", "stream_restart_outcomes", "stream_live_counters", "stream_account_summary",
+        "stream_bounded_copies"}
 
 
 @pytest.fixture(scope="module")
