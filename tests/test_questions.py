@@ -12,7 +12,7 @@ from casetrail.plans import ORACLE, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"stream_ingest_links", "stream_ingest_outcomes", "stream_stored_evidence", "resolve_rule_counts", "stream_whole_links",
         "stream_persons", "stream_restart_outcomes", "stream_live_counters", "stream_account_summary",
-        "stream_bounded_copies"}
+        "stream_bounded_copies", "stream_evidence_fetch"}
 
 
 @pytest.fixture(scope="module")
