@@ -36,14 +36,9 @@ class Threshold:
 
 def trigrams(name: Column) -> Column:
     """Distinct 3-grams of each word, padded with two spaces before and one after."""
-    words = F.filter(F.split(name, " "), lambda w: w != "")
-
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(word) + 1),
-                           lambda i: F.substring(padded, i, F.lit(3)))
-
-    return F.array_distinct(F.flatten(F.transform(words, grams)))
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.trim(name), " +", "   "), F.lit(" "))
+    # Every place that begins three characters of one padded word: no two spaces at the end.
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(..[^ ]|.[^ ] ))"), F.lit(1)))
 
 
 def trigram_codes(name: Column) -> Column:

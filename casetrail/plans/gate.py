@@ -228,10 +228,13 @@ SELECT c_custkey, round({sim('a', 'b')}, 6) AS similarity FROM (
   FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part))""", views=False)
 def name_similarity(spark, folder):
     customer, part = tables.table(spark, folder, "customer"), tables.table(spark, folder, "part")
-    both = customer.join(part, F.col("p_partkey") == F.col("c_custkey") % part.count())
+    both = spread(customer.join(part, F.col("p_partkey") == F.col("c_custkey") % part.count()).select(
+        "c_custkey", "p_name", "c_mktsegment", "p_type"))
     a = trigram_codes(normalise_name(F.concat_ws(" ", "p_name", "c_mktsegment")))
     b = trigram_codes(normalise_name(F.concat_ws(" ", "p_type", "p_name")))
-    return both.select("c_custkey", F.round(similarity(a, b), 6).alias("similarity"))
+    # Worked out once: without `inline` the sets would be repeated wherever the similarity names them.
+    sets = both.select("c_custkey", F.inline(F.array(F.struct(a.alias("a"), b.alias("b")))))
+    return sets.select("c_custkey", F.round(similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @question("""
