@@ -10,11 +10,10 @@ DIM = 768
 
 def features(text: Column) -> Column:
     """Words of a-z in lower case, and every word's 4-grams (a shorter word gives itself)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    grams = F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 3)),
-        lambda i: F.substring(w, i, F.lit(4))))
-    return F.concat(words, F.flatten(grams))
+    small = F.lower(text)
+    # A place begins a 4-gram, or it begins a whole word of fewer letters.
+    grams = "(?=([a-z]{4}|(?<![a-z])[a-z]{1,3}(?![a-z])))"
+    return F.concat(F.regexp_extract_all(small, F.lit("[a-z]+"), F.lit(0)), F.regexp_extract_all(small, F.lit(grams), F.lit(1)))
 
 
 def bucket_and_sign(feature: Column, dim: int = DIM) -> tuple[Column, Column]:

@@ -17,9 +17,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
-from casetrail.functions.vectors import DIM, bucket_and_sign, features
+from casetrail.functions.vectors import DIM, features
+from casetrail.session import spread
 
 Embedder = Callable[[list[str], str], list[list[float]]]
 MAX_K = 20
@@ -34,14 +35,19 @@ def _place(feature: str, dim: int) -> tuple[int, int]:
     return number % dim, 1 if number >> 64 & 1 else -1
 
 
-def _hashed(rows: pa.Array, dim: int) -> np.ndarray:
-    """Signed counts of the features of each row (a list array), scaled to length 1; rows without features are zero."""
+def _counts(rows: pa.Array, dim: int) -> np.ndarray:
+    """Signed counts of the features of each row (a list array)."""
     rows = rows.cast(pa.large_list(pa.large_string()))
     coded = rows.flatten().dictionary_encode()
     places = np.array([_place(f, dim) for f in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
     which = np.asarray(coded.indices, np.int64)
     row = np.repeat(np.arange(len(rows)), np.asarray(rows.value_lengths().fill_null(0), np.int64))
-    counts = np.bincount(row * dim + places[which, 0], places[which, 1].astype(np.float64), len(rows) * dim).reshape(len(rows), dim)
+    return np.bincount(row * dim + places[which, 0], places[which, 1].astype(np.float64), len(rows) * dim).reshape(len(rows), dim)
+
+
+def _hashed(rows: pa.Array, dim: int) -> np.ndarray:
+    """The counts scaled to length 1; rows without features are zero."""
+    counts = _counts(rows, dim)
     norms = np.sqrt((counts * counts).sum(axis=1))[:, None]
     return counts / np.where(norms > 0, norms, 1.0)
 
@@ -97,14 +103,24 @@ def embed_pending(notes: DataFrame, embedded: DataFrame, embedder: Embedder | No
 
 
 def sparse_hash(notes: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """The unscaled hashed vector as (key, bucket, value) rows, by built-in functions only.
+    """The unscaled hashed vector as (key, bucket, value) rows. Spark cuts texts into words and 4-grams; a task hashes each
+    distinct one once and adds up, and rows of one key are summed.
 
     Texts are dealt out by key, so the many features of a text are summed up where they arise.
     """
-    place, sign = bucket_and_sign(F.col("feature"), dim)
-    rows = notes.select(key, text).repartition(F.col(key)).select(key, F.explode(features(F.col(text))).alias("feature"))
-    return (rows.select(key, place.alias("bucket"), sign.alias("sign"))
-            .groupBy(key, "bucket").agg(F.sum("sign").alias("value")).filter("value <> 0"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(start, TEXTS_AT_ONCE)
+                counts = _counts(part.column(1), dim)
+                row, bucket = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(counts[row, bucket].astype(np.int64))],
+                    [key, "bucket", "value"])
+
+    rows = spread(notes.select(key, text), key).select(key, features(F.col(text)).alias("_features"))
+    summed = rows.mapInArrow(run, StructType([notes.schema[key], StructField("bucket", LongType()), StructField("value", LongType())]))
+    return summed.groupBy(key, "bucket").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
 def closest(batch: pa.RecordBatch, asked: list[tuple[str, np.ndarray]], k: int) -> tuple[list, list, list]:
