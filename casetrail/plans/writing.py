@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casetrail.functions.vectors import cosine_distance, vector_text
 from casetrail.operators import citations, notes, vector_index
 from casetrail.plans.registry import question
+from casetrail.session import cut, spread
 from casetrail.sources import tables
 
 QUESTION = "The customer let another person use the account and moved small deposits out within hours"
@@ -72,7 +73,8 @@ SELECT note_id, account_id, round(distance, 4) AS distance,
 FROM away JOIN notes USING (note_id) QUALIFY rank <= {K}""")
 def note_knn(spark, folder):
     """The notes closest to a question, over all whole texts."""
-    with_vectors = notes.embed(tables.notes(spark, folder), partitions=spark.sparkContext.defaultParallelism)
+    # Written down: the vectors are counted, compared and joined, and would be made anew for each.
+    with_vectors = cut(notes.embed(spread(tables.notes(spark, folder))))
     return notes.search_notes(with_vectors, QUESTION, K).select(
         "note_id", "account_id", "distance", F.col("rank").cast("bigint").alias("rank"))
 
