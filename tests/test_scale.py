@@ -64,3 +64,44 @@ def test_vectors_of_a_question_are_made_once(spark, folder, monkeypatch):
     monkeypatch.setattr(notes, "search_notes", lambda df, *more: asked.append(df) or search(df, *more))
     assert QUERIES["note_knn"](spark, folder).count() == 10
     assert "MapInArrow" not in asked[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_is_as_many_files_as_asked(spark, tmp_path):
+    """A micro-batch of one file is one task for all that the gate does."""
+    import os
+
+    from casetrail.sources import topics
+    spark_rows = spark.range(100_000).selectExpr("'logins' AS source", "'raw.logins' AS topic", "0 AS partition", "id AS offset",
+                                                 "CAST(id AS STRING) AS key", "'{}' AS value").coalesce(1)
+    files = topics.files_for(100_000, spark)
+    assert files == min(5, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert topics.files_for(0, spark) == topics.files_for(5, spark) == 1
+    for _ in range(2):
+        topics.append_envelopes(spark_rows, str(tmp_path / "t"), files)
+    assert sum(f.endswith(".parquet") for f in os.listdir(tmp_path / "t")) == 2 * files
+
+
+def test_verdicts_are_worked_out_once(spark, folder, monkeypatch):
+    import casetrail.plans.checks as checks
+    made = []
+    real = checks.cut
+    monkeypatch.setattr(checks, "cut", lambda df: made.append(df.columns) or real(df))
+    df = QUERIES["reconcile_counts"](spark, folder)
+    assert ["offset", "model", "verdict"] in made
+    assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_like_entries_are_compared_once(spark, monkeypatch):
+    """Entries of one name and birth date meet the openings as one."""
+    from casetrail.operators import screen as module
+    born = datetime.date(1980, 1, 1)
+    opened = spark.createDataFrame([("r1", "sipho dlamini", born), ("r2", "sipho dlamini", None)],
+                                   "record_id string, name_norm string, date_of_birth date")
+    listed = spark.createDataFrame([(f"S-{i}", "sipho dlamini", ["sipho m dlamini"], born if i % 2 else None) for i in range(10)],
+                                   "entry_id string, name_norm string, aliases_norm array<string>, date_of_birth date")
+    pairs = []
+    real = module.similarity_join
+    monkeypatch.setattr(module, "similarity_join", lambda *a, **k: pairs.append(real(*a, **k)) or pairs[-1])
+    got = sorted((r["record_id"], r["entry_id"], r["score"]) for r in module.screen(opened, listed).collect())
+    assert got == sorted([("r1", f"S-{i}", 1.0) for i in range(10)] + [("r2", f"S-{i}", 1.0) for i in range(0, 10, 2)])
+    assert sum(p.count() for p in pairs) <= 4
