@@ -8,6 +8,9 @@ tournament tree of the room left. Groups are independent tasks of bounded size;
 Only places, lengths and checksums move; token ids stay in the task that made them, unless asked for.
 A sequence is padded to `length`, except at a power of two, where none is needed. Null and empty texts
 are the closing id alone. Repeated rows are packed as documents of their own.
+
+With `order`, a column of dense places from 0, groups are runs of GROUP documents in that order, and a group's sequences
+are numbered by the first document in them: sequences follow the order, to within a group.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ def encoder(json_path: str, ranks_path: str):
     return encode
 
 
-def _token_pieces(json_path: str, ranks_path: str, length: int):
+def _token_pieces(json_path: str, ranks_path: str, length: int, order: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
         for batch in batches:
@@ -68,8 +71,9 @@ def _token_pieces(json_path: str, ranks_path: str, length: int):
                 ids = np.array([*encode(text.as_py() or ""), CLOSING], dtype="<u4")
                 tokens.append(len(ids))
                 sums.append([zlib.crc32(ids[i:i + length].tobytes()) for i in range(0, len(ids), length)])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(tokens, pa.int64()),
-                                   pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "sums"])
+            place = {} if order is None else {"row": batch.column(order)}
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "doc_tokens": pa.array(tokens, pa.int64()),
+                                   "sums": pa.array(sums, pa.list_(pa.int64())), **place})
     return run
 
 
@@ -93,7 +97,7 @@ def first_fit_decreasing(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def _pack(length: int):
+def _pack(length: int, ordered: bool = False):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_tokens", "doc_id", "row"], kind="stable")
         tokens = group["doc_tokens"].to_numpy(np.int64)
@@ -110,6 +114,10 @@ def _pack(length: int):
         where, at = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
         where[has], at[has] = bins, offsets
         number[~whole] = where[of[~whole]]
+        if ordered and len(of):
+            first = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, number, group["row"].to_numpy(np.int64)[of])
+            number = np.argsort(np.argsort(first, kind="stable"), kind="stable")[number]
         return pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(group["doc_id"].to_numpy(np.int64)[of], group["no_id"].to_numpy(bool)[of]),
             "start": nth * length,
@@ -124,13 +132,16 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "offset long")
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, json_path: str, ranks_path: str, length: int = LENGTH, group: int = GROUP,
+         order: str | None = None) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
-    counted = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _token_pieces(json_path, ranks_path, length), "doc_id long, doc_tokens long, sums array<long>")
-        .withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([order] if order else []))
+    counted = rows.mapInArrow(_token_pieces(json_path, ranks_path, length, order),
+                              "doc_id long, doc_tokens long, sums array<long>" + (", row long" if order else ""))
+    counted = written(counted if order else counted.withColumn("row", F.monotonically_increasing_id()), "tokens")
     groups = max(1, -(-counted.count() // group))
+    mine = F.floor(F.col("row") / group) if order else F.pmod(F.xxhash64("row"), F.lit(groups))
     # pandas would turn ids with nulls among them into floats.
     dealt = counted.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
-                           "doc_tokens", "sums", "row", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
-    return dealt.groupBy("group").applyInPandas(_pack(length), PIECES)
+                           "doc_tokens", "sums", "row", mine.alias("group"))
+    return dealt.groupBy("group").applyInPandas(_pack(length, order is not None), PIECES)
