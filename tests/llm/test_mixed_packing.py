@@ -29,13 +29,14 @@ def test_a_written_order_is_read_again(spark):
     assert "place" not in docs.columns
 
 
-def test_the_pipeline_packs_in_the_order_of_the_mix(spark, monkeypatch):
+def test_the_last_stage_packs_in_the_order_written(spark, monkeypatch):
     seen = []
-    stages = [("mixing", lambda spark, docs, folder: docs.orderBy("n_chars")),
-              ("packing", lambda spark, docs, folder: seen.append(docs) or docs)]
+    real = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda docs, *a, **k: seen.append((docs, k)) or real(docs, *a, **k))
     rows = spark.createDataFrame([(i, "x", "en", "s", (i * 37) % 50) for i in range(50)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
-    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
-    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: rows)
-    corpus_pipeline.run(spark, "unused")
-    assert all(r["place"] == r["n_chars"] for r in seen[0].collect())
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, written(rows.orderBy("n_chars"), "mixed"), "unused").count() == 50
+    docs, how = seen[0]
+    assert how == {"order": "place"} and all(r["place"] == r["n_chars"] for r in docs.collect())
+    assert pack(spark, rows, "unused").count() == 50 and seen[1][1] == {}
