@@ -11,7 +11,7 @@ would separate nothing. Regions are therefore formed in two steps.
    smaller of a linked pair. All that meet so belong to the region of one pivot, the set of highest
    priority among them (the least digest); since priorities are global, most shingles of a group of copies
    choose the same pivot. A set is replicated to the regions of all its pivots.
-2. Only sets left by this are read again, for their texts and counts of shingles in 512 fixed classes. A set keeps its
+2. Only sets left by this are read again, for their texts and counts of shingles in 128 fixed classes. A set keeps its
    place in a region only if some other set there can reach the threshold by sizes and counts: the L1
    distance of the counts is never more than the symmetric difference. Regions fall apart into the parts that hang
    together by this test, and parts that share a set become one region.
@@ -48,11 +48,13 @@ from llm.components import components
 from llm.sketch import cell, common_cells
 from llm.words import Words, mix, sequence_hash, slices
 
-CLASSES = 512
+# Counts that move are few; a task counts more finely for itself.
+CLASSES = 128
 FINE_CLASSES = 512
 CROWD = 64
 BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 1024, 1_000_000, 8, 2
 SLICE = 1 << 20
+MOST_TOKENS = 1 << 17
 OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -122,12 +124,17 @@ def _prefix_tokens(width: int, num: int, den: int):
     return run
 
 
+def _placed_tokens(nodes: list[np.ndarray], tokens: list[np.ndarray], spots: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(tokens).view(np.int64)),
+                            pa.array(np.concatenate(spots))], ["node", "token", "spot"])
+
+
 def _prefixes(width: int, num: int, den: int, late):
     """(node, token, spot) of the first shingles of each set; copies in a task count once. spot: size << 32 | place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, crowd = set(), late.value
         for batch in batches:
-            nodes, out, spots = [], [], []
+            nodes, out, spots, held = [], [], [], 0
             for s in shingle_sets(batch.column("text"), width):
                 node = digests(s)[0]
                 if not len(s) or node in seen:
@@ -137,9 +144,12 @@ def _prefixes(width: int, num: int, den: int, late):
                 out.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
                 spots.append((np.int64(len(s)) << 32) + np.arange(len(first)))
+                held += len(first)
+                if held >= MOST_TOKENS:
+                    yield _placed_tokens(nodes, out, spots)
+                    nodes, out, spots, held = [], [], [], 0
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(out).view(np.int64)),
-                                       pa.array(np.concatenate(spots))], ["node", "token", "spot"])
+                yield _placed_tokens(nodes, out, spots)
     return run
 
 
@@ -329,13 +339,13 @@ def _sorted_groups(df: DataFrame) -> DataFrame:
     return df.repartition("region", "pair").sortWithinPartitions("region", "pair")
 
 
-def _of_tokens(wanted):
-    """Rows whose token passes the filter."""
+def _passing(wanted, column: str):
+    """Rows whose `column` passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bits = wanted.value
         packed = np.frombuffer(data, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(holds(packed, bits, batch.column("token").to_numpy())))
+            yield batch.filter(pa.array(holds(packed, bits, batch.column(column).to_numpy())))
     return run
 
 
@@ -359,7 +369,7 @@ def meetings(held: DataFrame, num: int, den: int) -> DataFrame:
         return written(two.distinct(), "members")
     wanted = held.sparkSession.sparkContext.broadcast(build(more, count))
     size, place = F.shiftright("spot", 32), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
-    rows = written(held.mapInArrow(_of_tokens(wanted), held.schema).join(more, "token").distinct(), "crowds")
+    rows = written(held.mapInArrow(_passing(wanted, "token"), held.schema).join(more, "token").distinct(), "crowds")
     wanted.destroy()
     # Linked sizes differ by a factor of den / num at most: by one size class, a little wider than that, at most.
     step = math.log(den / num) * 1.001 if den > num else 1.0
@@ -377,8 +387,8 @@ def meetings(held: DataFrame, num: int, den: int) -> DataFrame:
 def regions(members: DataFrame, wanted: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """region, node, n_shingles: members that another member of the region can reach by sizes and class counts."""
     known = wanted.join(texts.select("rep", "node", "counts"), ["rep", "node"]).select("node", "n_shingles", "counts")
-    members = members.join(known, "node")
-    near = _sorted_groups(blocked(members, BLOCK)).select("region", "pair", "side", "node", "n_shingles", "counts")
+    # Blocks are dealt on names alone, so the counts move once to them.
+    near = _sorted_groups(blocked(members, BLOCK).join(known, "node")).select("region", "pair", "side", "node", "n_shingles", "counts")
     return written(near.mapInArrow(_near(num, den), "region long, node long, n_shingles long").distinct(), "near")
 
 
@@ -404,8 +414,13 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, blo
         _wanted_texts(width, shared), "rep long, node long, counts binary, packed binary"), "texts")
     shared.destroy()
     members = regions(members, wanted, texts, num, den)
-    own = wanted.join(members.select("node").distinct(), "node").select("rep", "node")
-    texts = written(texts.select("rep", "node", "packed").join(own, ["rep", "node"]).select("node", "packed"), "own-texts")
+    own = written(wanted.join(members.select("node").distinct(), "node").select("rep", "node"), "own")
+    # Most texts are not wanted any more and stay in their task.
+    texts = texts.select("rep", "node", "packed")
+    shared = context.broadcast(build(own.select("node"), own.count()))
+    texts = written(texts.mapInArrow(_passing(shared, "node"), texts.schema).join(own, ["rep", "node"]).select("node", "packed"),
+                    "own-texts")
+    shared.destroy()
     members = merged(members)
     found = []
     for level in range(depth):
