@@ -55,6 +55,8 @@ CROWD = 64
 BLOCK, BLOCK_SHINGLES, LARGE, DEPTH = 1024, 1_000_000, 8, 2
 SLICE = 1 << 20
 MOST_TOKENS = 1 << 17
+# What a task has in hand at once beside a group that is larger: bytes of its rows, and texts unpacked together.
+CHUNK_BYTES, PIECE = 4 << 20, 64
 OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -179,11 +181,12 @@ def blocked(members: DataFrame, block: int, weight: str | None = None, most: int
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
     """Whole groups of equal (region, pair) from sorted batches, many small groups at a time."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for batch in batches:
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        size += batch.nbytes
+        if count < rows and size < CHUNK_BYTES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         region, pair = table["region"].to_numpy(), table["pair"].to_numpy()
@@ -191,7 +194,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
         if len(new):
             yield table.slice(0, int(new[-1]))
             table = table.slice(int(new[-1])).combine_chunks()
-        held, count = table.to_batches(), 0
+        held, count, size = table.to_batches(), 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -331,8 +334,12 @@ def _wanted_texts(width: int, wanted):
 
 
 def unpacked(packed: list[bytes], width: int) -> list[np.ndarray]:
-    texts = pa.array([zstandard.decompress(x) for x in packed], pa.binary()).cast(pa.string())
-    return list(shingle_sets(texts, width))
+    """The sets of compressed texts; only a few texts are unpacked at a time."""
+    found = []
+    for k in range(0, len(packed), PIECE):
+        texts = pa.array([zstandard.decompress(x) for x in packed[k:k + PIECE]], pa.binary()).cast(pa.string())
+        found.extend(shingle_sets(texts, width))
+    return found
 
 
 def _sorted_groups(df: DataFrame) -> DataFrame:

@@ -41,3 +41,35 @@ def test_pipeline_hands_few_texts_to_python(spark):
         assert int(spark.conf.get(name)) == corpus_pipeline.ROWS_IN_HAND
     finally:
         spark.conf.set(name, before)
+
+
+def test_chunks_end_at_bytes_and_keep_groups_whole():
+    names = ["region", "pair", "packed"]
+    rows = [pa.record_batch([pa.array([i // 2], pa.int64()), pa.array([0], pa.int64()), pa.array([bytes(100_000)])], names)
+            for i in range(200)]
+    chunks = list(jaccard_join._chunks(iter(rows), 1000))
+    assert max(c.nbytes for c in chunks) <= jaccard_join.CHUNK_BYTES + 200_000
+    regions = [set(c["region"].to_pylist()) for c in chunks]
+    assert sum(map(len, regions)) == 100 and sum(c.num_rows for c in chunks) == 200
+
+
+def test_sets_of_several_pieces_equal_those_of_one():
+    texts = [f"a{i} b c d{i % 7}" * (i % 5) for i in range(3 * jaccard_join.PIECE + 1)]
+    packed = [jaccard_join.zstandard.compress(t.encode()) for t in texts]
+    found = jaccard_join.unpacked(packed, 2)
+    for x, y in zip(found, jaccard_join.shingle_sets(pa.array(texts), 2), strict=True):
+        assert np.array_equal(x, y)
+
+
+def test_pipeline_bounds_the_bytes_of_a_batch(spark):
+    name, rows = (f"spark.sql.execution.arrow.{x}" for x in ("maxBytesPerBatch", "maxRecordsPerBatch"))
+    before, rows_before = spark.conf.get(name), spark.conf.get(rows)
+    try:
+        corpus_pipeline.small_batches(spark)
+        assert int(spark.conf.get(name).rstrip("bB")) == corpus_pipeline.BYTES_IN_HAND
+        long = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+        sizes = long.mapInArrow(lambda it: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in it), "n long").collect()
+        assert max(r["n"] for r in sizes) < 2 * corpus_pipeline.BYTES_IN_HAND
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set(rows, rows_before)
