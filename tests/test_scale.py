@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casetrail.operators import notes
+from casetrail.plans import checks
 from casetrail.plans.registry import QUERIES
 import casetrail.plans.gate  # noqa: F401
 import casetrail.plans.writing  # noqa: F401
@@ -105,3 +106,13 @@ def test_like_entries_are_compared_once(spark, monkeypatch):
     got = sorted((r["record_id"], r["entry_id"], r["score"]) for r in module.screen(opened, listed).collect())
     assert got == sorted([("r1", f"S-{i}", 1.0) for i in range(10)] + [("r2", f"S-{i}", 1.0) for i in range(0, 10, 2)])
     assert sum(p.count() for p in pairs) <= 4
+
+
+def test_copies_of_messages_are_made_from_one_reading(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2), ("b", None)], "key string, offset long").write.parquet(str(tmp_path / "sent"))
+    sent = spark.read.parquet(str(tmp_path / "sent"))
+    both = checks.copied(sent, 100)
+    assert both.columns == sent.columns
+    assert sorted((r["key"], r["offset"] or 0) for r in both.collect()) == [
+        ("a", 1), ("a", 101), ("b", 0), ("b", 0), ("b", 2), ("b", 102)]
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
