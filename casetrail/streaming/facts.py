@@ -28,9 +28,11 @@ def fact_rows(judged: DataFrame) -> DataFrame:
 
 
 def run_facts(messages: DataFrame, path: str, checkpoint: str, now: datetime | None = None,
-              trigger: dict | None = None, within: str | None = None, arrived: Column | None = None, **bounds) -> StreamingQuery:
+              trigger: dict | None = None, within: str | None = None, arrived: Column | None = None,
+              partitions: int | None = None, **bounds) -> StreamingQuery:
     """Counts arrive as the observed metrics `inserted` and `skipped_invalid` of `facts`. `within`, `arrived`: see
-    `drop_copies_within`."""
+    `drop_copies_within`; its state is dealt to `partitions` tasks (else the session's shuffle partitions), which the
+    first start with a checkpoint fixes."""
     transfers = messages.filter(F.col("source") == "transactions")
     if within is not None:
         transfers = drop_copies_within(transfers, within, arrived)
@@ -44,8 +46,16 @@ def run_facts(messages: DataFrame, path: str, checkpoint: str, now: datetime | N
         (fact_rows(counted).sortWithinPartitions(*MERGE_KEY)
          .write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch}"))
 
-    return (transfers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    stream = transfers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True}))
+    spark, dealt = messages.sparkSession, "spark.sql.shuffle.partitions"
+    session = spark.conf.get(dealt)
+    # A stream takes the settings with it when it starts.
+    spark.conf.set(dealt, str(partitions or session))
+    try:
+        return stream.start()
+    finally:
+        spark.conf.set(dealt, session)
 
 
 def read_facts(spark: SparkSession, path: str, merged: bool = True) -> DataFrame:
