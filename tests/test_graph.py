@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casetrail.functions.trigrams import Threshold, trigrams
 from casetrail.operators import links, network, search, similarity
-from casetrail.operators.screen import list_entries, screen
+from casetrail.operators.screen import list_entries, screen, screen_folds
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -231,3 +231,25 @@ def test_a_crowd_of_close_names_prunes_the_rest(spark):
         similarity._placed(asked, F.lit(0.3), ["query"], "l_"), similarity._placed(held, F.lit(0.3), ["name"], "r_"),
         F.lit(0.3), F.lit(0.3)).count()
     assert 2 * sum(df.count() for df in seen) <= plain
+
+
+def test_screened_openings_are_folded_before_entries_multiply_them(spark):
+    """Links equal those of every (opening, entry) event, and rows of persons with one spelling are not dealt by entry."""
+    rng = random.Random(8)
+    born, names = [dt.date(1980, 1, 1), dt.date(1980, 1, 2), None], ["anna berg", "anna bergh", "carl diaz", "emil fox", None]
+    rows = [(rng.choice([f"KYC-{n:03d}", f"KYC-{n:03d}", None]), f"P-{n:02d}" if n < 40 else rng.choice(["P-91", "P-92", None]),
+             rng.choice(names), rng.choice(born), T0 + dt.timedelta(hours=rng.randint(0, 99)), rng.choice([n, 7])) for n in range(160)]
+    opened = spark.createDataFrame(rows, "record_id string, person_id string, name_norm string, date_of_birth date, opened_at timestamp, "
+                                         "arrival bigint")
+    listed = spark.createDataFrame([(f"S-{i}" if i else None, rng.choice(names[:4]), ["anna bergh"] if i % 3 else [], rng.choice(born))
+                                    for i in range(30)],
+                                   "entry_id string, name_norm string, aliases_norm array<string>, date_of_birth date")
+    want = links.fold_events(links.sanction_events(screen(opened, listed)), 3)
+    folds = screen_folds(opened, listed, 3)
+    assert dict(folds.dtypes) == dict(want.dtypes)
+    assert sorted(map(str, folds.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert want.filter("weight > 1").count() > 20 and want.filter("weight = 1").count() > 20
+    alone = screen_folds(opened.filter("person_id < 'P-40'"), listed, 3).filter("src < 'person:P-40'")
+    assert alone.count() == want.filter("src < 'person:P-40'").count() > 20
+    dealt = [line for line in str(alone._jdf.queryExecution().optimizedPlan()).split("\n") if "Aggregate" in line and "dst" in line]
+    assert len(dealt) == 1    # the second fold, for persons of several spellings only
