@@ -14,7 +14,7 @@ would separate nothing. Regions are therefore formed in two steps.
 2. Only sets left by this are read again, for their texts and counts of shingles in 128 fixed classes. A set keeps its
    place in a region only if some other set there can reach the threshold by sizes and counts: the L1
    distance of the counts is never more than the symmetric difference. Regions fall apart into the parts that hang
-   together by this test, and parts that share a set become one region.
+   together by this test, and parts that share a set become one region, unless less is moved when they stay apart.
 3. Regions too large for one task are divided again around a pivot of their own: rings of the
    threshold's width by exact distance to it. By the triangle inequality linked sets lie in one ring or in
    neighbouring rings, so each ring is joined with the next one. This is repeated to a fixed depth; what is
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bloom import build, holds
-from llm.common import written
+from llm.common import removed, written
 from llm.components import components
 from llm.sketch import cell, common_cells
 from llm.words import Words, mix, sequence_hash, slices
@@ -388,7 +388,9 @@ def meetings(held: DataFrame, num: int, den: int) -> DataFrame:
         F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.when(F.col("early"), F.col("size"))).alias("least"))
         .filter("low < high AND least IS NOT NULL"), "firsts")
     many = rows.join(firsts, ["token", "band"]).filter("size >= least").select(F.col("low").alias("region"), "node")
-    return written(two.unionAll(many).distinct(), "members")
+    members = written(two.unionAll(many).distinct(), "members")
+    removed(shared, rows, firsts)
+    return members
 
 
 def regions(members: DataFrame, wanted: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -399,11 +401,18 @@ def regions(members: DataFrame, wanted: DataFrame, texts: DataFrame, num: int, d
     return written(near.mapInArrow(_near(num, den), "region long, node long, n_shingles long").distinct(), "near")
 
 
-def merged(members: DataFrame) -> DataFrame:
-    """Regions that share a set become one, so each set is in one region only."""
+def merged(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Regions that share a set become one, so each set is in one region only, unless that moves more shingles: where chance
+    ties many regions into one of many blocks, they stay apart. Linked sets share a region either way."""
     parts = components(members.select(F.col("region").alias("a"), F.col("node").alias("b")))
-    own = members.select("node", "n_shingles").distinct()
-    return written(own.join(parts, "node").select(F.col("component").alias("region"), "node", "n_shingles"), "merged")
+    rows = written(members.join(parts, "node"), "tied")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    moved = (F.sum("n_shingles") * blocks).alias("moved")
+    together = rows.select("component", "node", "n_shingles").distinct().groupBy("component").agg(moved)
+    apart = rows.groupBy("component", "region").agg(moved).groupBy("component").agg(F.sum("moved").alias("apart"))
+    choice = together.join(apart, "component").select("component", (F.col("moved") > F.col("apart")).alias("stay"))
+    region = F.when(F.col("stay"), F.col("region")).otherwise(F.col("component"))
+    return written(rows.join(choice, "component").select(region.alias("region"), "node", "n_shingles").distinct(), "merged")
 
 
 def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, block: int = BLOCK,
@@ -415,6 +424,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, blo
                    "prefixes")
     late.destroy()
     members = meetings(held, num, den)
+    removed(held)
     wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "n_shingles", "rep"), "wanted")
     shared = context.broadcast(build(wanted.select("rep"), wanted.count()))
     texts = written(docs.select("doc_id", "text").mapInArrow(
@@ -423,12 +433,13 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int, blo
     members = regions(members, wanted, texts, num, den)
     own = written(wanted.join(members.select("node").distinct(), "node").select("rep", "node"), "own")
     # Most texts are not wanted any more and stay in their task.
-    texts = texts.select("rep", "node", "packed")
+    every = texts.select("rep", "node", "packed")
     shared = context.broadcast(build(own.select("node"), own.count()))
-    texts = written(texts.mapInArrow(_passing(shared, "node"), texts.schema).join(own, ["rep", "node"]).select("node", "packed"),
+    texts = written(every.mapInArrow(_passing(shared, "node"), every.schema).join(own, ["rep", "node"]).select("node", "packed"),
                     "own-texts")
     shared.destroy()
-    members = merged(members)
+    removed(every)
+    members = merged(members, block)
     found = []
     for level in range(depth):
         sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.min(F.struct(

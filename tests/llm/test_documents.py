@@ -1,6 +1,7 @@
 """Operators on documents against brute force in plain Python."""
 
 import hashlib
+import os
 import re
 import textwrap
 import zlib
@@ -423,3 +424,27 @@ def test_sketch(spark):
     df = spark.createDataFrame([(i % 7,) for i in range(700)], "k long").repartition(3)
     table = sketch.counts(df, lambda b: b.column(0).to_numpy().astype(np.uint64) << np.uint64(20))
     assert table.sum() == 700 and table[sketch.cell(np.arange(7, dtype=np.uint64) << np.uint64(20))].tolist() == [100] * 7
+
+
+def test_regions_tied_by_chance_stay_apart(spark):
+    """One region of a long chain would be dealt to many blocks, each set to all of them; small regions that share sets become one."""
+    chain = [(i, i + k, 400_000) for i in range(20) for k in (0, 1)]
+    small = [(100, 100, 10), (100, 101, 10), (101, 101, 10), (101, 102, 10)]
+    members = spark.createDataFrame(chain + small, "region long, node long, n_shingles long")
+    got = jaccard_join.merged(members)
+    assert sorted(r["node"] for r in got.filter("node >= 100").collect()) == [100, 101, 102]
+    assert got.filter("node >= 100").select("region").distinct().count() == 1
+    assert sorted((r["region"], r["node"], r["n_shingles"]) for r in got.filter("node < 100").collect()) == sorted(chain)
+    assert jaccard_join.blocked(got, jaccard_join.BLOCK, "n_shingles", jaccard_join.BLOCK_SHINGLES).count() == len(chain) + 3
+
+
+def test_scratch_tables_of_the_join_are_removed(spark, monkeypatch):
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j k", "one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {}
+    real = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    classes = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_classes(docs, 3, 80, 100).collect()}
+    assert classes == {0: 0, 1: 0, 2: 2}
+    for name in ("prefixes", "shared", "texts"):
+        assert not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in made[name].inputFiles()), name
