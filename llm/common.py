@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetrail.session import scratch
+from casetrail.session import removed, scratch  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,12 +30,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(*tables: DataFrame) -> None:
-    """Delete what `written` has written; for tables that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

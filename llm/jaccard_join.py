@@ -373,7 +373,9 @@ def meetings(held: DataFrame, num: int, den: int) -> DataFrame:
     more = shared.filter("n > 2").select("token")
     count = more.count()
     if not count:
-        return written(two.distinct(), "members")
+        members = written(two.distinct(), "members")
+        removed(shared)
+        return members
     wanted = held.sparkSession.sparkContext.broadcast(build(more, count))
     size, place = F.shiftright("spot", 32), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
     rows = written(held.mapInArrow(_passing(wanted, "token"), held.schema).join(more, "token").distinct(), "crowds")
